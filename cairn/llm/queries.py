@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate
+from cairn.llm import decontaminate, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -37,3 +37,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.Rule.read(x) for x in url_filter.RULES])
+
+
+ORACLE_SQL["op7_url_filter"] = url_filter.ORACLE
