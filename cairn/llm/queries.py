@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, url_filter
+from cairn.llm import decontaminate, shingle_join, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -45,3 +45,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_url_filter"] = url_filter.ORACLE
+
+
+@query
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents")).drop("class")
+
+
+ORACLE_SQL["op5_shingle_join"] = shingle_join.ORACLE
