@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, shingle_join, url_filter
+from cairn.llm import decontaminate, embedding_dedup, shingle_join, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -53,3 +53,11 @@ def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op5_shingle_join"] = shingle_join.ORACLE
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op6_embedding_dedup"] = embedding_dedup.ORACLE
