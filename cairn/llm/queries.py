@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, embedding_dedup, shingle_join, url_filter
+from cairn.llm import decontaminate, embedding_dedup, shingle_join, toxicity, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -61,3 +61,15 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_embedding_dedup"] = embedding_dedup.ORACLE
+
+
+def remainder(doc_id: str, of: int) -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of, F.lit(-1))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(remainder("doc_id", 5) != 0)
+    out = toxicity.scored(docs, toxicity.train(learnt, "text", "toxic"))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
