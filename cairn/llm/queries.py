@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, embedding_dedup, shingle_join, toxicity, url_filter
+from cairn.llm import decontaminate, embedding_dedup, lm_score, shingle_join, toxicity, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -73,3 +73,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnt = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(remainder("doc_id", 5) != 0)
     out = toxicity.scored(docs, toxicity.train(learnt, "text", "toxic"))
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 7) != 2)
+    out = lm_score.scores(docs)
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
