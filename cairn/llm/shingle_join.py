@@ -8,10 +8,10 @@ Texts with the same set are one *class*, named by a hash of the set and its size
 2. what stays is ordered, unshared shingles first, then rarest first, in several orders. Linked classes share
    one of the first n - ceil(t n) + 1 shingles in each order.
 3. large groups would give all pairs. So classes are first compared with one class of equal least
-   hash (a pivot, under several hashes), which links most of a group through few pairs; then
-   only shingles that lie in the prefixes of two or more partial groups give pairs, and only of
-   different partial groups. Pairs must be given by all orders and pass the size and position
-   filters; then their sets are compared. Links inside a partial group can't change the result.
+   hash (a pivot, under several hashes, in some turns), which links most of a group through few pairs.
+   Links inside a partial group can't change the result. So after each turn step 1 is repeated with
+   shingles that several partial groups hold, and in the end classes of different groups give pairs. Pairs must be given by all orders and pass the size and position
+   filters; then their sets are compared.
 4. components of the links, over distributed edges.
 
 Hashes have 64 bits; sets that differ are taken as equal with a chance near 2^-64 a pair.
@@ -36,8 +36,8 @@ from cairn.llm.shared import Stage, shuffle_parts
 
 #: Shingles gathered before they are dealt to buckets (some 100 MB of a Python worker).
 DEALT = 3_000_000
-#: Hashes under which classes meet a pivot.
-PIVOTS = 3
+#: Hashes under which classes meet a pivot in a turn, and turns.
+PIVOTS, TURNS = 3, 3
 #: Pairs made at once inside one shingle's list.
 BLOCK = 1 << 20
 
@@ -47,6 +47,14 @@ def overlap_of(n: np.ndarray | int, num: int, den: int):
     return -(-n * num // den)
 
 
+def common(need):
+    """Prefix tokens that a pair which must share `need` tokens must share in each order.
+
+    Its l-th common token has at least need - l tokens of either set after it; so with prefixes that are longer by l - 1 this loses no pair.
+    """
+    return np.maximum(4, need // 8)
+
+
 def class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash for each set."""
     return tk.mixed(tk.sums(tk.mixed(values ^ np.uint64(0xA0761D6478BD642F)), at) + np.diff(at).astype(np.uint64) * tk.STEP).view(np.int64)
@@ -71,35 +79,39 @@ def classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(f, f"doc_id {kind}, n_shingles long, class long")
 
 
+DEALT_AS = "bucket int, classes binary, sizes binary, groups binary, counts binary, tokens binary"
+
+
+def packets(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tokens: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Deals tokens, whose owners (places in `ids`) rise, to buckets: one row for each bucket."""
+    bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")  # owners stay together inside a bucket
+    tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
+    begin = np.flatnonzero(new)
+    counts = np.diff(np.append(begin, len(tokens)))
+    held, where = owner[begin], bucket[begin]
+    filled = np.unique(where)
+    of_rows = np.append(np.searchsorted(where, filled), len(where))
+    of_tokens = np.append(np.searchsorted(bucket, filled), len(tokens))
+    columns = [ids[held], sizes[held].astype(np.int32), groups[held], counts.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(tk.binary(c, of_rows) for c in columns), tk.binary(tokens, of_tokens)], names=["bucket", "classes", "sizes", "groups", "counts", "tokens"])
+
+
 def dealt(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
-    """(bucket, classes, sizes, counts, tokens): for some classes, their shingles of one bucket, packed."""
+    """For some classes, their shingles of one bucket, packed; every class is its own group."""
 
     def deal(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         tokens = np.concatenate([v for v, _ in parts])
         sizes = np.concatenate([np.diff(at) for _, at in parts])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        ids = class_ids(tokens, at)
+        ids = class_ids(tokens, np.concatenate([[0], np.cumsum(sizes)]))
         _, one = np.unique(ids, return_index=True)  # copies that lie here together
         once = np.zeros(len(ids), dtype=bool)
         once[one] = True
         owner = np.repeat(np.arange(len(ids)), sizes)
         keep = once[owner]
-        tokens, owner = tokens[keep], owner[keep]
-        bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")  # owners stay together inside a bucket
-        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-        new = np.ones(len(tokens), dtype=bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
-        begin = np.flatnonzero(new)
-        counts = np.diff(np.append(begin, len(tokens)))
-        held, where = owner[begin], bucket[begin]
-        filled = np.unique(where)
-        of_rows = np.append(np.searchsorted(where, filled), len(where))
-        of_tokens = np.append(np.searchsorted(bucket, filled), len(tokens))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(filled, pa.int32()), tk.binary(ids[held], of_rows), tk.binary(sizes[held].astype(np.int32), of_rows), tk.binary(counts.astype(np.int32), of_rows), tk.binary(tokens, of_tokens)],
-            names=["bucket", "classes", "sizes", "counts", "tokens"],
-        )
+        return packets(ids, sizes, ids, tokens[keep], owner[keep], buckets)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -114,40 +126,55 @@ def dealt(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
         if held:
             yield deal(parts)
 
-    return docs.select(F.col(text)).mapInArrow(f, "bucket int, classes binary, sizes binary, counts binary, tokens binary")
+    return docs.select(F.col(text)).mapInArrow(f, DEALT_AS)
+
+
+def dealt_again(sets: DataFrame, buckets: int) -> DataFrame:
+    """The same of (class, n, tokens, group)."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, at = tk.unpacked(batch.column(2), np.uint64)
+            if len(tokens):
+                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                yield packets(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), tokens, owner, buckets)
+
+    return sets.select("class", "n", "tokens", "group").mapInArrow(f, DEALT_AS)
 
 
 def shared_tokens(dealt_out: DataFrame, parts: int) -> DataFrame:
-    """(class, n, tokens, df): packed shingles that two or more classes hold; a row for each class and part."""
+    """(class, n, tokens, df): packed shingles that classes of two or more groups hold; a row for each class and part."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ns, tokens = [], [], []
+        ids, ns, groups, tokens = [], [], [], []
         for batch in batches:
-            counts = tk.unpacked(batch.column(3), np.int32)[0]
+            counts = tk.unpacked(batch.column(4), np.int32)[0]
             ids.append(np.repeat(tk.unpacked(batch.column(1), np.int64)[0], counts))
             ns.append(np.repeat(tk.unpacked(batch.column(2), np.int32)[0], counts))
-            tokens.append(tk.unpacked(batch.column(4), np.uint64)[0])
+            groups.append(np.repeat(tk.unpacked(batch.column(3), np.int64)[0], counts))
+            tokens.append(tk.unpacked(batch.column(5), np.uint64)[0])
         if not tokens:
             return
-        token, owner, n = np.concatenate(tokens), np.concatenate(ids), np.concatenate(ns)
-        del tokens, ids, ns
+        token, owner, n, group = (np.concatenate(x) for x in (tokens, ids, ns, groups))
+        del tokens, ids, ns, groups
         order = np.argsort(token)
         token = token[order]
         same = np.concatenate([[False], token[1:] == token[:-1], [False]])
         some = same[1:] | same[:-1]
         order, token = order[some], token[some]
-        owner, n = owner[order], n[order]
+        owner, n, group = owner[order], n[order], group[order]
         order = np.lexsort((owner, token))
-        token, owner, n = token[order], owner[order], n[order]
+        token, owner, n, group = token[order], owner[order], n[order], group[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, n = token[new], owner[new], n[new]
+        token, owner, n, group = token[new], owner[new], n[new], group[new]
         if not len(token):
             return
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         df = np.diff(np.append(first, len(token)))
+        several = np.repeat(np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first), df)
         df = np.repeat(df, df)
-        yield packed(owner[df > 1], n[df > 1], token[df > 1], df[df > 1])
+        yield packed(owner[several], n[several], token[several], df[several])
 
     return dealt_out.repartition(parts, "bucket").mapInArrow(f, "class long, n int, tokens binary, df binary")
 
@@ -184,14 +211,14 @@ def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     return shared.repartition(parts, "class").mapInArrow(f, "class long, n int, tokens binary, df binary")
 
 
-def pivots(sets: DataFrame) -> DataFrame:
-    """(class, way, least): the least hash of each class under several hashes."""
+def pivots(sets: DataFrame, ways: range) -> DataFrame:
+    """(class, way, least): the least hash of each class under the hashes `ways`."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, at = tk.unpacked(batch.column(1), np.uint64)
             ids = batch.column(0).to_numpy()
-            for way in range(PIVOTS):
+            for way in ways:
                 least = np.minimum.reduceat(tk.mixed(tokens + salt(way + 1)), at[:-1]) if len(ids) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), way, np.int32)), pa.array(least.view(np.int64))], names=["class", "way", "least"])
 
@@ -207,10 +234,10 @@ def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
             df = tk.unpacked(batch.column(3), np.int32)[0]
             ids, n, k = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), np.diff(at)
             row = np.repeat(np.arange(len(ids)), k)
-            rare, tie = (df, tokens) if way == 0 else (np.floor(np.log2(df)), tk.mixed(tokens + salt(way + 100)))
+            rare, tie = (df, tokens) if way == 0 else (np.floor(np.log2(df)), tk.mixed(tokens + salt(way + 1000)))
             order = np.lexsort((tie, rare, row))
             place = np.arange(len(tokens)) - np.repeat(at[:-1], k) + np.repeat(n - k, k)
-            ahead = place < np.repeat(n - overlap_of(n, num, den) + 1, k)
+            ahead = place < np.repeat(n - overlap_of(n, num, den) + common(n), k)
             picked = order[ahead]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[picked].view(np.int64)), pa.array(ids[row[picked]]), pa.array(n[row[picked]].astype(np.int32)), pa.array(place[ahead].astype(np.int32))], names=["token", "class", "n", "at"]
@@ -219,8 +246,22 @@ def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(f, "token long, class long, n int, at int")
 
 
-def pairs_across(lists: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """(a, b), a < b, of different groups that share a listed token and pass the size and position filters."""
+def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) -> DataFrame:
+    """(way, a, na, b, nb): pairs a < b of different groups that share a listed token and pass the size and position
+    filters, once for each such token; partners b and their sizes nb are packed, a row for each a and part."""
+
+    def packed_pairs(left: np.ndarray, right: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        swap = ids[left] > ids[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        order = np.argsort(ids[left], kind="stable")
+        left, right = left[order], right[order]
+        one = ids[left]
+        first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+        at = np.append(first, len(left))
+        head = left[first]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(head), way, np.int32)), pa.array(ids[head]), pa.array(n[head].astype(np.int32)), tk.binary(ids[right], at), tk.binary(n[right].astype(np.int32), at)], names=["way", "a", "na", "b", "nb"]
+        )
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in batch.columns] for batch in batches]
@@ -237,25 +278,54 @@ def pairs_across(lists: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             reach[a:b] = a + np.searchsorted(n[a:b], most[a:b], "right")
         count = np.minimum(reach, until) - np.arange(len(n)) - 1
-        held: list[np.ndarray] = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (group[a:b] == group[a]).all():
+                count[a:b] = 0
+        held, size = [], 0
         for lo, hi in blocks(count):
             left = np.repeat(np.arange(lo, hi), count[lo:hi])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
             need = overlap_of(n[left] + n[right], num, num + den)
-            ok = (group[left] != group[right]) & (1 + np.minimum(n[left] - 1 - at[left], n[right] - 1 - at[right]) >= need)
-            left, right = ids[left[ok]], ids[right[ok]]
-            if len(left):
-                held.append(np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0))
-            if sum(map(len, held)) > BLOCK:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], names=["a", "b"])
-                    held = []
-        if held:
-            out = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            ok = (group[left] != group[right]) & (common(need) + np.minimum(n[left] - 1 - at[left], n[right] - 1 - at[right]) >= need)
+            held.append((left[ok], right[ok]))
+            size += len(held[-1][0])
+            if size > BLOCK:
+                yield packed_pairs(*map(np.concatenate, zip(*held, strict=True)), ids, n)
+                held, size = [], 0
+        if size:
+            yield packed_pairs(*map(np.concatenate, zip(*held, strict=True)), ids, n)
+
+    return lists.select("token", "class", "n", "at", "group").repartition(parts, "token").mapInArrow(f, "way int, a long, na int, b binary, nb binary")
+
+
+def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that share enough prefix tokens in every order."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            b, at = tk.unpacked(batch.column(3), np.int64)
+            k = np.diff(at)
+            nb = tk.unpacked(batch.column(4), np.int32)[0].astype(np.int64)
+            na = np.repeat(batch.column(2).to_numpy(), k)
+            need = overlap_of(na + nb, num, num + den)
+            least = np.minimum(common(need), need)
+            for c, v in zip(cols, (np.repeat(batch.column(1).to_numpy(), k), b, np.repeat(batch.column(0).to_numpy(), k), least), strict=True):
+                c.append(v)
+        if not cols[0]:
+            return
+        a, b, way, least = map(np.concatenate, cols)
+        order = np.lexsort((way, b, a))
+        a, b, way, least = a[order], b[order], way[order], least[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (way[1:] != way[:-1])]) if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        enough = first[np.diff(np.append(first, len(a))) >= least[first]]
+        a, b = a[enough], b[enough]
+        last = np.flatnonzero(np.concatenate([(a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])) if len(a) else np.zeros(0, np.int64)
+        all_ways = last[np.diff(np.concatenate([[-1], last])) == orders]
+        yield pa.RecordBatch.from_arrays([pa.array(a[all_ways]), pa.array(b[all_ways])], names=["a", "b"])
 
-    return lists.select("token", "class", "n", "at", "group").repartition(parts, "token").mapInArrow(f, "a long, b long").distinct()
+    return given.repartition(parts, "a").mapInArrow(f, "a long, b long")
 
 
 def blocks(count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -286,31 +356,43 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(f, "a long, b long")
 
 
-def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> tuple[DataFrame, list[Stage]]:
-    """Edges (a, b) between classes whose components are those of all links; and the stages they rest on."""
+def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of all links."""
     parts = shuffle_parts(docs.sparkSession)
     sets = Stage(likely(shared_tokens(dealt(docs, text, width, 2 * parts), parts), parts, num, den))
-    met = Stage(pivots(sets.df))
-    first = met.df.groupBy("way", "least").agg(F.min("class").alias("b"))
-    to_pivot = met.df.join(first, ["way", "least"]).where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
-    near = Stage(linked(to_pivot, sets.df, num, den))
-    groups = Stage(components(near.df))
+    found = Stage(sets.df.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
+    grouped = lambda df: df.withColumn("group", F.col("class"))
+    size = sets.df.count()
+    for turn in range(TURNS if size else 0):
+        met = Stage(grouped(pivots(sets.df, range(turn * PIVOTS, (turn + 1) * PIVOTS))))
+        first = met.df.groupBy("way", "least").agg(F.min(F.struct("class", "group")).alias("p"))
+        apart = met.df.join(first, ["way", "least"]).where(F.col("group") != F.col("p.group"))
+        new = linked(apart.select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct(), sets.df, num, den)
+        more = Stage(found.df.unionByName(new))
+        met.drop()
+        found.drop()
+        found = more
+        groups = components(found.df).select(F.col("node").alias("class"), F.col("label").alias("group"))
+        grouped = lambda df, groups=groups: df.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
+        # only links between groups matter now, and for them a class needs enough shingles that other groups hold
+        fewer = Stage(likely(shared_tokens(dealt_again(grouped(sets.df), 2 * parts), parts), parts, num, den))
+        sets.drop()
+        sets, size = fewer, fewer.df.count()
+        if not size:
+            break
     given = None
     for way in range(orders):
-        ahead = prefixes(sets.df, way, num, den)
-        rows = ahead.join(groups.df.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("label", "class"))
-        mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("token")
-        found = pairs_across(rows.join(mixed, "token", "left_semi"), parts, num, den)
-        given = found if given is None else given.join(found, ["a", "b"])
-    far = Stage(linked(given, sets.df, num, den))
-    met.drop()
-    return near.df.unionByName(far.df), [sets, near, groups, far]
+        rows = grouped(prefixes(sets.df, way, num, den))
+        made = pairs_across(rows, way, parts, num, den)
+        given = made if given is None else given.unionByName(made)
+    far = Stage(linked(agreed(given, orders, parts, num, den), sets.df, num, den))
+    return found.df.unionByName(far.df)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> DataFrame:
     """doc_id, n_shingles, class, component_id for every row of `docs`."""
     rows = Stage(classes(docs, doc_id, text, width))
-    edges, _ = links(docs, text=text, width=width, num=num, den=den, orders=orders)
+    edges = links(docs, text=text, width=width, num=num, den=den, orders=orders)
     labels = Stage(components(edges))
     named = rows.df.join(labels.df.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     named = named.select("doc_id", "n_shingles", "class", "label")
