@@ -274,15 +274,14 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return Model(marks, model.weights, model.bias, steepness(best, y), 0.0)
 
 
-def train(labelled: DataFrame, text: str, toxic: str) -> Model:
-    """`labelled`: rows with a text and a 0/1 label; rows that lack either aren't used."""
-    usable = labelled.where(F.col(text).isNotNull() & F.col(toxic).isin(0, 1) & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    texts, labels = [], []
-    for label in (1, 0):
-        for r in usable.where(F.col("toxic") == label).orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect():
-            texts.append(r.text)
-            labels.append(label)
-    return fit(texts, labels)
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+    """Joins a sample of labels to their texts; rows without an id, a text or a 0/1 label aren't used."""
+    usable = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("__toxic")).distinct()
+    picked = [usable.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE) for label in (1, 0)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 SAMPLE rows of an id and a label
+    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(sample, "__id")
+    rows = sorted((-r.toxic, r.text) for r in joined.where(F.length("text") <= SAMPLE_CHARS).select(F.col("__toxic").alias("toxic"), "text").collect())
+    return fit([t for _, t in rows], [-label for label, _ in rows])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
