@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, embedding_dedup, lm_score, shingle_join, toxicity, url_filter
+from cairn.llm import decontaminate, embedding_dedup, lm_score, mixture, shingle_join, toxicity, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -79,3 +79,12 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 7) != 2)
     out = lm_score.scores(docs)
     return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture.probabilities(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
+
+
+ORACLE_SQL["op1_mixture"] = mixture.oracle()
