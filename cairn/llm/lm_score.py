@@ -40,7 +40,7 @@ ORDER = 5
 NGRAMS = 500_000
 HOT = 100_000
 #: Words that a task gathers before it deals them out.
-DEALT = 2_000_000
+DEALT = 800_000
 #: Stands for both edges of a word; no word holds it.
 EDGE = 32
 END = np.uint64(0)

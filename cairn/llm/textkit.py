@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes, a longer text alone.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 _mixer = np.random.Generator(np.random.PCG64(20260101))
 LETTER = _mixer.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
