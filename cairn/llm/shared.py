@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(df: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """Rows of `df` that match none of `gone`; `same` compares columns of both, whose names differ."""
+    gone = cut(gone.distinct())
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, same, "left_anti")
