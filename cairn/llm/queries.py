@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, embedding_dedup, lm_score, mixture, shingle_join, toxicity, url_filter
+from cairn.llm import decontaminate, embedding_dedup, language_id, lm_score, mixture, secret_scan, shingle_join, toxicity, url_filter
 from cairn.llm.shared import table
 from cairn.llm.token_count import token_counts
 
@@ -88,3 +88,14 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op1_mixture"] = mixture.oracle()
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents"))
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
