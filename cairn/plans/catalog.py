@@ -1,10 +1,4 @@
-"""Queries over the shared tables, one for each operator, with the SQL that must agree."""
+"""All queries over the shared tables, and the SQL that must agree."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cairn.plans import decision_queries, geometry_queries, source_queries, text_queries  # noqa: F401  they register
+from cairn.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
