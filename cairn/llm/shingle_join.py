@@ -34,8 +34,8 @@ from cairn.llm import textkit as tk
 from cairn.llm.components import components
 from cairn.llm.shared import Stage, shuffle_parts
 
-#: Shingles gathered before they are dealt to buckets (some 100 MB of a Python worker).
-DEALT = 3_000_000
+#: Shingles gathered before they are dealt to buckets (some 60 MB of a Python worker).
+DEALT = 1_500_000
 #: Hashes under which classes meet a pivot in a turn, and turns.
 PIVOTS, TURNS = 3, 3
 #: Pairs made at once inside one shingle's list.
@@ -82,8 +82,8 @@ def classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 DEALT_AS = "bucket int, classes binary, sizes binary, groups binary, counts binary, tokens binary"
 
 
-def packets(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tokens: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Deals tokens, whose owners (places in `ids`) rise, to buckets: one row for each bucket."""
+def packets(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray | None, tokens: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Deals tokens, whose owners (places in `ids`) rise, to buckets: one row for each bucket. Without groups every class is its own."""
     bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")  # owners stay together inside a bucket
     tokens, owner, bucket = tokens[order], owner[order], bucket[order]
@@ -95,12 +95,15 @@ def packets(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tokens: np.n
     filled = np.unique(where)
     of_rows = np.append(np.searchsorted(where, filled), len(where))
     of_tokens = np.append(np.searchsorted(bucket, filled), len(tokens))
-    columns = [ids[held], sizes[held].astype(np.int32), groups[held], counts.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(tk.binary(c, of_rows) for c in columns), tk.binary(tokens, of_tokens)], names=["bucket", "classes", "sizes", "groups", "counts", "tokens"])
+    named = tk.binary(groups[held], of_rows) if groups is not None else pa.nulls(len(filled), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(filled, pa.int32()), tk.binary(ids[held], of_rows), tk.binary(sizes[held].astype(np.int32), of_rows), named, tk.binary(counts.astype(np.int32), of_rows), tk.binary(tokens, of_tokens)],
+        names=["bucket", "classes", "sizes", "groups", "counts", "tokens"],
+    )
 
 
 def dealt(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
-    """For some classes, their shingles of one bucket, packed; every class is its own group."""
+    """For some classes, their shingles of one bucket, packed."""
 
     def deal(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         tokens = np.concatenate([v for v, _ in parts])
@@ -111,7 +114,7 @@ def dealt(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
         once[one] = True
         owner = np.repeat(np.arange(len(ids)), sizes)
         keep = once[owner]
-        return packets(ids, sizes, ids, tokens[keep], owner[keep], buckets)
+        return packets(ids, sizes, None, tokens[keep], owner[keep], buckets)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -142,27 +145,39 @@ def dealt_again(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.select("class", "n", "tokens", "group").mapInArrow(f, DEALT_AS)
 
 
+def by_class(owner: np.ndarray, n: np.ndarray, token: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Classes, their sizes, the bounds of their tokens, and tokens and df in that order, tokens sorted."""
+    order = np.lexsort((token, owner))
+    owner, n, token, df = owner[order], n[order], token[order], df[order]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[first], n[first].astype(np.int32), np.append(first, len(owner)), token, df.astype(np.int32)
+
+
 def shared_tokens(dealt_out: DataFrame, parts: int) -> DataFrame:
-    """(class, n, tokens, df): packed shingles that classes of two or more groups hold; a row for each class and part."""
+    """(dest, classes, sizes, counts, tokens, df): shingles that classes of two or more groups hold, packed for their classes' parts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ns, groups, tokens = [], [], [], []
+        ids, ns, groups, counts, tokens = [], [], [], [], []
         for batch in batches:
-            counts = tk.unpacked(batch.column(4), np.int32)[0]
-            ids.append(np.repeat(tk.unpacked(batch.column(1), np.int64)[0], counts))
-            ns.append(np.repeat(tk.unpacked(batch.column(2), np.int32)[0], counts))
-            groups.append(np.repeat(tk.unpacked(batch.column(3), np.int64)[0], counts))
-            tokens.append(tk.unpacked(batch.column(5), np.uint64)[0])
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                ids.append(tk.unpacked(one.column(1), np.int64)[0])
+                ns.append(tk.unpacked(one.column(2), np.int32)[0])
+                groups.append(tk.unpacked(one.column(3), np.int64)[0] if one.column(3).null_count == 0 else ids[-1])
+                counts.append(tk.unpacked(one.column(4), np.int32)[0])
+                tokens.append(tk.unpacked(one.column(5), np.uint64)[0])
         if not tokens:
             return
-        token, owner, n, group = (np.concatenate(x) for x in (tokens, ids, ns, groups))
-        del tokens, ids, ns, groups
+        token = np.concatenate(tokens)
+        del tokens
         order = np.argsort(token)
         token = token[order]
         same = np.concatenate([[False], token[1:] == token[:-1], [False]])
         some = same[1:] | same[:-1]
         order, token = order[some], token[some]
-        owner, n, group = owner[order], n[order], group[order]
+        del same, some
+        entry = np.searchsorted(np.cumsum(np.concatenate(counts)), order, "right")
+        owner, n, group = np.concatenate(ids)[entry], np.concatenate(ns)[entry], np.concatenate(groups)[entry]
         order = np.lexsort((owner, token))
         token, owner, n, group = token[order], owner[order], n[order], group[order]
         new = np.ones(len(token), dtype=bool)
@@ -174,17 +189,20 @@ def shared_tokens(dealt_out: DataFrame, parts: int) -> DataFrame:
         df = np.diff(np.append(first, len(token)))
         several = np.repeat(np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first), df)
         df = np.repeat(df, df)
-        yield packed(owner[several], n[several], token[several], df[several])
-
-    return dealt_out.repartition(parts, "bucket").mapInArrow(f, "class long, n int, tokens binary, df binary")
-
+        names, sizes, at, token, df = by_class(owner[several], n[several], token[several], df[several])
+        dest = (names % parts).astype(np.int32)
+        order = np.argsort(dest, kind="stable")
+        k = np.diff(at)
+        take = np.repeat(at[:-1][order], k[order]) + np.arange(len(token)) - np.repeat(np.cumsum(k[order]) - k[order], k[order])
+        names, sizes, k, dest, token, df = names[order], sizes[order], k[order], dest[order], token[take], df[take]
+        to = np.unique(dest)
+        rows = np.append(np.searchsorted(dest, to), len(dest))
+        cells = np.concatenate([[0], np.cumsum(k)])[rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(to, pa.int32()), *(tk.binary(x, rows) for x in (names, sizes, k.astype(np.int32))), tk.binary(token, cells), tk.binary(df, cells)], names=["dest", "classes", "sizes", "counts", "tokens", "df"]
+        )
 
-def packed(owner: np.ndarray, n: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((token, owner))
-    owner, n, token, df = owner[order], n[order], token[order], df[order]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    at = np.append(first, len(owner))
-    return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(n[first].astype(np.int32)), tk.binary(token, at), tk.binary(df.astype(np.int32), at)], names=["class", "n", "tokens", "df"])
+    return dealt_out.repartition(parts, "bucket").mapInArrow(f, "dest int, classes binary, sizes binary, counts binary, tokens binary, df binary")
 
 
 def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
@@ -193,22 +211,22 @@ def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            tokens, at = tk.unpacked(batch.column(2), np.uint64)
-            k = np.diff(at)
-            for c, v in zip(cols, (np.repeat(batch.column(0).to_numpy(), k), np.repeat(batch.column(1).to_numpy(), k), tokens, tk.unpacked(batch.column(3), np.int32)[0]), strict=True):
+            k = tk.unpacked(batch.column(3), np.int32)[0]
+            owner, n = tk.unpacked(batch.column(1), np.int64)[0], tk.unpacked(batch.column(2), np.int32)[0]
+            for c, v in zip(cols, (np.repeat(owner, k), np.repeat(n, k), tk.unpacked(batch.column(4), np.uint64)[0], tk.unpacked(batch.column(5), np.int32)[0]), strict=True):
                 c.append(v)
         if not cols[0]:
             return
-        owner, n, token, df = map(np.concatenate, cols)
-        order = np.argsort(owner, kind="stable")
-        owner, n, token, df = owner[order], n[order], token[order], df[order]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        k = np.diff(np.append(first, len(owner)))
-        enough = np.repeat(k >= overlap_of(n[first].astype(np.int64), num, den), k)
-        if enough.any():
-            yield packed(owner[enough], n[enough], token[enough], df[enough])
+        names, n, at, token, df = by_class(*map(np.concatenate, cols))
+        enough = np.flatnonzero(np.diff(at) >= overlap_of(n.astype(np.int64), num, den))
+        for lo in range(0, len(enough), 1000):
+            rows = enough[lo : lo + 1000]
+            k = np.diff(at)[rows]
+            cells = np.concatenate([[0], np.cumsum(k)])
+            take = np.repeat(at[rows], k) + np.arange(cells[-1]) - np.repeat(cells[:-1], k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(n[rows]), tk.binary(token[take], cells), tk.binary(df[take], cells)], names=["class", "n", "tokens", "df"])
 
-    return shared.repartition(parts, "class").mapInArrow(f, "class long, n int, tokens binary, df binary")
+    return shared.repartition(parts, "dest").mapInArrow(f, "class long, n int, tokens binary, df binary")
 
 
 def pivots(sets: DataFrame, ways: range) -> DataFrame:
@@ -359,7 +377,7 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links."""
     parts = shuffle_parts(docs.sparkSession)
-    sets = Stage(likely(shared_tokens(dealt(docs, text, width, 2 * parts), parts), parts, num, den))
+    sets = Stage(likely(shared_tokens(dealt(docs, text, width, parts), parts), parts, num, den))
     found = Stage(sets.df.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
     grouped = lambda df: df.withColumn("group", F.col("class"))
     size = sets.df.count()
@@ -375,7 +393,7 @@ def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75,
         groups = components(found.df).select(F.col("node").alias("class"), F.col("label").alias("group"))
         grouped = lambda df, groups=groups: df.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
         # only links between groups matter now, and for them a class needs enough shingles that other groups hold
-        fewer = Stage(likely(shared_tokens(dealt_again(grouped(sets.df), 2 * parts), parts), parts, num, den))
+        fewer = Stage(likely(shared_tokens(dealt_again(grouped(sets.df), parts), parts), parts, num, den))
         sets.drop()
         sets, size = fewer, fewer.df.count()
         if not size:
