@@ -1 +1,215 @@
-"""Queries."""
+"""Queries over `documents`, `events` and other tables: samples, duplicates, chunks, latencies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cairn.operators import chunking, duplicates, metrics, sampling
+from cairn.plans.registry import query, table
+
+MD5 = "md5('{seed}:' || CAST({id} AS VARCHAR))"
+WORDS = "[w FOR w IN regexp_split_to_array(coalesce(text, ''), '\\s+') IF w <> '']"
+LOWER = "[w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '\\s+') IF w <> '']"
+
+
+@query(f"SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY {MD5.format(seed=7, id='c_custkey')}, c_custkey LIMIT 100)")
+def uniform_subsample(spark, sf):
+    return sampling.subsample(table(spark, sf, "customer"), 100, 7, "c_custkey").select("c_custkey")
+
+
+QUOTA = """c AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang), r AS (SELECT lang, c, 200 * c / sum(c) OVER () AS raw FROM c),
+f AS (SELECT *, floor(raw) AS whole, 200 - sum(floor(raw)) OVER () AS rest FROM r),
+quota AS (SELECT lang, c, CAST(whole + CASE WHEN row_number() OVER (ORDER BY raw - whole DESC, lang) <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f)"""
+
+
+@query(f"WITH {QUOTA} SELECT lang, c AS count, quota FROM quota")
+def largest_remainder_quotas(spark, sf):
+    return sampling.quotas(table(spark, sf, "documents"), "lang", 200)
+
+
+@query(f"WITH {QUOTA}, i AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {MD5.format(seed=3, id='doc_id')}, doc_id) AS i FROM documents) SELECT doc_id, lang FROM i JOIN quota USING (lang) WHERE i <= quota")
+def stratified_sample(spark, sf):
+    return sampling.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", 200, 3, "doc_id").select("doc_id", "lang")
+
+
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {MD5.format(seed=1, id='doc_id')}, doc_id) AS i FROM documents) WHERE i <= 5")
+def reservoir_by_source(spark, sf):
+    return sampling.reservoir(table(spark, sf, "documents").select("doc_id", "source"), "source", 5, 1, "doc_id")
+
+
+HOT = "top AS (SELECT c_nationkey FROM (SELECT c_nationkey, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i, count(*) OVER () AS n FROM customer GROUP BY c_nationkey) WHERE i <= greatest(1, floor(n * 0.05)))"
+
+
+@query(f"""WITH {HOT}, q AS ((SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM top) ORDER BY {MD5.format(seed=5, id='c_custkey')}, c_custkey LIMIT 20)
+UNION ALL (SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT * FROM top) ORDER BY {MD5.format(seed=5, id='c_custkey')}, c_custkey LIMIT 20))
+SELECT c_custkey, c_custkey IN (SELECT * FROM q) AS asked FROM customer""")
+def hot_query_split(spark, sf):
+    queries, base = sampling.split_queries(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 40, 5, "c_custkey")
+    return queries.select("c_custkey", F.lit(True).alias("asked")).unionByName(base.select("c_custkey", F.lit(False).alias("asked")))
+
+
+@query("WITH m AS (SELECT list_sort(list(CAST(o_orderdate AS VARCHAR)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS t FROM orders) SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) < t AS before FROM orders, m")
+def train_before_cutoff(spark, sf):
+    return sampling.before_cutoff(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").select("o_orderkey", "before")
+
+
+@query(f"SELECT count(*) AS texts, CAST(count(*) FILTER (n > 256) AS BIGINT) AS truncated, avg(CASE WHEN n > 256 THEN 1.0 ELSE 0.0 END) AS fraction, max(n) AS longest FROM (SELECT len({WORDS}) AS n FROM documents)")
+def model_truncation(spark, sf):
+    return sampling.truncated(table(spark, sf, "documents"), "text", 256)
+
+
+@query("SELECT doc_id FROM documents WHERE length(trim(coalesce(text, ''))) >= 200 AND source IS NOT NULL AND trim(source) <> ''")
+def eligible_documents(spark, sf):
+    return sampling.eligible(table(spark, sf, "documents"), "text", 200, ("source",)).select("doc_id")
+
+
+SHINGLES = f"sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {LOWER} AS w FROM documents) WHERE len(w) >= 5))"
+
+
+@query(f"WITH {SHINGLES} SELECT d.doc_id, count(s) AS shingles FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY d.doc_id")
+def shingle_sets(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(duplicates.shingles(F.col("text"))).cast("long").alias("shingles"))
+
+
+def similar(spark, sf):
+    sets = table(spark, sf, "documents").select("doc_id", duplicates.shingles(F.col("text")).alias("s"))
+    pairs = duplicates.candidates(duplicates.signatures(sets, "doc_id", "s"), "doc_id")
+    return sets, duplicates.scored(pairs, sets, "doc_id", "s")
+
+
+JACCARD = f"{SHINGLES}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"
+
+
+@query(f"WITH {JACCARD} SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.8")
+def near_duplicate_pairs(spark, sf):
+    _, scored = similar(spark, sf)
+    return scored.where("jaccard >= 0.8").withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
+def near_duplicate_rates(spark, sf):
+    sets, scored = similar(spark, sf)
+    return duplicates.rates(scored, sets.count())
+
+
+@query(f"""WITH n AS (SELECT doc_id, len({WORDS}) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n > 512 THEN CAST(ceil((n - 512) / 448.0) AS BIGINT) ELSE 0 END + 1)) AS idx FROM n WHERE n > 0)
+SELECT doc_id, CAST(idx AS INT) AS idx, CAST(idx * 448 AS INT) AS first, CAST(least(512, n - idx * 448) AS INT) AS tokens FROM w WHERE idx = 0 OR n - idx * 448 >= 32""")
+def fixed_windows(spark, sf):
+    return chunking.fixed_windows(table(spark, sf, "documents"), 512, 64, 32)
+
+
+def chunks_of(spark, sf, strategy="fixed", **params):
+    return chunking.chunked(table(spark, sf, "documents"), strategy, **(params or {"size": 128, "overlap": 16}))
+
+
+@query()
+def chunks_fixed(spark, sf):
+    return chunks_of(spark, sf)
+
+
+@query()
+def chunks_sentence(spark, sf):
+    return chunks_of(spark, sf, "sentence", size=128, overlap=16)
+
+
+@query()
+def chunks_structure(spark, sf):
+    return chunks_of(spark, sf, "structure", low=32, high=256)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS wrong")
+def chunk_offsets(spark, sf):
+    """Chunks that aren't their document's characters between their offsets."""
+    both = chunks_of(spark, sf, "sentence", size=128, overlap=16).alias("c").join(table(spark, sf, "documents").alias("d"), "doc_id")
+    return both.agg(F.sum((F.col("c.text") != F.expr("substring(d.text, start + 1, end - start)")).cast("long")).alias("wrong"))
+
+
+def lines_of(spark, sf):
+    """(doc_id, start, end) of lines, as sections and as spans."""
+    parts = F.split(F.col("text"), "\n")
+    sizes = F.transform(parts, lambda p: F.length(p) + 1)
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.arrays_zip(parts.alias("p"), sizes.alias("n"))).alias("i", "x"))
+    start = F.coalesce(F.sum("x.n").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return rows.select("doc_id", start.alias("start"), (start + F.length("x.p")).cast("int").alias("end")).where("end > start")
+
+
+@query()
+def span_survival(spark, sf):
+    spans = lines_of(spark, sf).withColumn("kind", F.when(F.col("end") - F.col("start") < 200, "short").otherwise("long"))
+    return chunking.survival(spans.distinct(), chunks_of(spark, sf))
+
+
+@query()
+def section_crossing(spark, sf):
+    out = chunking.crossing(chunks_of(spark, sf), lines_of(spark, sf))
+    return out.agg(F.count("*").alias("chunks"), F.sum(F.col("crosses").cast("long")).alias("crossing"))
+
+
+@query()
+def boundary_alignment(spark, sf):
+    return chunking.alignment(chunks_of(spark, sf, "sentence", size=128, overlap=0), lines_of(spark, sf))
+
+
+@query()
+def chunk_lengths(spark, sf):
+    return chunking.lengths(chunks_of(spark, sf), 32, 128)
+
+
+@query()
+def unresolved_references(spark, sf):
+    return chunking.unresolved(chunks_of(spark, sf, "sentence", size=128, overlap=0))
+
+
+@query()
+def anchor_homes(spark, sf):
+    lines = lines_of(spark, sf).where("end - start >= 60")
+    anchors = sampling.subsample(lines.withColumn("anchor", F.concat_ws(":", "doc_id", "start")), 500, 0, "anchor")
+    return chunking.home_chunks(anchors, chunks_of(spark, sf))
+
+
+@query("SELECT doc_id, text AS verbatim, regexp_replace(text, '^[^,;:]{0,200}[,;:]\\s+', '') AS drop_first_clause FROM documents")
+def perturbations(spark, sf):
+    made = chunking.perturbed(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", made["verbatim"].alias("verbatim"), made["drop_first_clause"].alias("drop_first_clause"))
+
+
+@query()
+def self_retrieval(spark, sf):
+    """Whether sentences find the chunk they come from, by hashed bags of words; 200 anchors are the feature's sample."""
+    from cairn.operators import knn
+
+    chunks = chunks_of(spark, sf).withColumn("vec_id", F.xxhash64("doc_id", "idx")).select("vec_id", "doc_id", "idx", "start", "end", "text")
+    lines = lines_of(spark, sf).where("end - start >= 60").withColumn("anchor", F.concat_ws(":", "doc_id", "start"))
+    anchors = sampling.subsample(lines, 200, 0, "anchor")
+    homes = chunking.home_chunks(anchors, chunks).withColumn("query_id", F.xxhash64("anchor"))
+    texts = anchors.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id").select(F.xxhash64("anchor").alias("query_id"), F.expr("substring(whole, start + 1, end - start)").alias("line"))
+    found = knn.exact(chunking.bag_vectors(chunks, "vec_id", F.col("text")), chunking.bag_vectors(texts, "query_id", F.col("line")), 5)
+    hit = homes.withColumn("vec_id", F.xxhash64("doc_id", "idx")).join(found, ["query_id", "vec_id"], "left")
+    return hit.agg(F.count("*").alias("anchors"), F.avg(F.col("rank").isNotNull().cast("double")).alias("self_recall_at_5"), F.percentile("rank", F.lit(0.5)).alias("rank_p50"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY event_type")
+def latency_shape(spark, sf):
+    out = metrics.latency(table(spark, sf, "events"), "value", "event_type")
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99", "mean")})
+
+
+RUNS = "runs AS (SELECT event_type, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type)"
+
+
+@query(f"WITH {RUNS} SELECT round(min(p95), 6) AS least, round(quantile_cont(p95, 0.5), 6) AS middle, round(max(p95), 6) AS most, round(max(p95) - min(p95), 6) AS spread, count(*) AS runs FROM runs")
+def p95_spread(spark, sf):
+    out = metrics.spread(metrics.latency(table(spark, sf, "events"), "value", "event_type"), "p95")
+    return out.withColumns({c: F.round(c, 6) for c in ("least", "middle", "most", "spread")})
+
+
+@query("SELECT event_type, count(*) / 60.0 AS achieved_qps, avg(CASE WHEN value > 100 THEN 1.0 ELSE 0.0 END) AS error_rate, count(*) / 60.0 < 0.9 * 40 AS shortfall FROM events GROUP BY event_type")
+def load_summary(spark, sf):
+    return metrics.load_summary(table(spark, sf, "events"), ["event_type"], F.lit(60.0), F.col("value") > 100, 40.0)
+
+
+@query(f"WITH {RUNS}, l AS (SELECT CAST(n AS DOUBLE) AS qps, p95, event_type FROM runs) SELECT round(avg(qps), 6) AS mean_qps, min(qps) AS min_qps, round(avg(p95), 6) AS mean_p95, round(max(p95), 6) AS max_p95, arg_min(event_type, qps) AS slowest_by_qps, arg_max(event_type, p95) AS slowest_by_p95, CASE WHEN count(*) < 2 THEN 'couldnt_check' ELSE 'measured' END AS outcome FROM l")
+def node_fan_out(spark, sf):
+    nodes = metrics.latency(table(spark, sf, "events"), "value", "event_type").select(F.col("event_type").alias("node"), F.col("n").cast("double").alias("qps"), "p95")
+    return metrics.fan_out(nodes).withColumns({c: F.round(c, 6) for c in ("mean_qps", "mean_p95", "max_p95")})
