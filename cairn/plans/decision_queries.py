@@ -1 +1,109 @@
-"""Queries."""
+"""Queries of the decision layer. Rows of configurations are stood in for by figures over `customer` and `events`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cairn.operators import metrics, verdicts
+from cairn.plans.registry import query, table
+
+R = """r AS MATERIALIZED (SELECT CAST(c_nationkey AS VARCHAR) AS config, c_mktsegment AS engine, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS recall, count(*) / 4.0 AS amplification, max(c_acctbal) AS p95 FROM customer GROUP BY ALL),
+v AS MATERIALIZED (SELECT config, engine, 'recall' AS "constraint", recall AS value, 0.8 AS threshold, CASE WHEN recall IS NULL THEN 'couldnt_check' WHEN recall >= 0.8 THEN 'meets' ELSE 'fails' END AS outcome FROM r
+UNION ALL SELECT config, engine, 'storage', amplification, 4, CASE WHEN amplification <= 4 THEN 'meets' ELSE 'fails' END FROM r
+UNION ALL SELECT config, engine, 'memory', NULL, 1, 'couldnt_check' FROM r),
+c AS (SELECT config, "constraint", CASE WHEN bool_or(outcome = 'meets') THEN 'meets' WHEN bool_and(outcome = 'fails') THEN 'fails' ELSE 'couldnt_check' END AS outcome FROM v GROUP BY ALL),
+two AS (SELECT * FROM c WHERE "constraint" <> 'memory'),
+o AS (SELECT config, CASE WHEN bool_or(outcome = 'fails') THEN 'fails' WHEN bool_and(outcome = 'meets') THEN 'meets' ELSE 'couldnt_check' END AS outcome FROM two GROUP BY config),
+s AS (SELECT config, avg(recall) AS recall, round(avg(amplification), 9) AS amplification, count(*) AS fanout FROM r GROUP BY config)"""
+
+
+def rows_of(spark, sf):
+    df = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("config"), F.col("c_mktsegment").alias("engine"))
+    return df.agg(F.avg((F.col("c_acctbal") > 0).cast("double")).alias("recall"), (F.count("*") / 4.0).alias("amplification"), F.max("c_acctbal").alias("p95"))
+
+
+def verdict_rows(spark, sf):
+    return verdicts.judged(rows_of(spark, sf), [("recall", "recall", ">=", 0.8), ("storage", "amplification", "<=", 4.0), ("memory", "memory_gb", "<=", 1.0)])
+
+
+def outcomes(spark, sf):
+    collapsed = verdicts.over_engines(verdict_rows(spark, sf)).where("constraint <> 'memory'")
+    return verdicts.overall(rows_of(spark, sf), collapsed)
+
+
+def summary(spark, sf):
+    return rows_of(spark, sf).groupBy("config").agg(F.avg("recall").alias("recall"), F.round(F.avg("amplification"), 9).alias("amplification"), F.count("*").alias("fanout"))
+
+
+@query(f'WITH {R} SELECT config, engine, "constraint", round(value, 9) AS value, outcome FROM v')
+def constraint_verdicts(spark, sf):
+    return verdict_rows(spark, sf).select("config", "engine", "constraint", F.round("value", 9).alias("value"), "outcome")
+
+
+@query(f'WITH {R} SELECT config, "constraint", outcome FROM c')
+def verdicts_over_engines(spark, sf):
+    return verdicts.over_engines(verdict_rows(spark, sf))
+
+
+@query(f"WITH {R} SELECT config, outcome FROM o")
+def overall_outcomes(spark, sf):
+    return outcomes(spark, sf)
+
+
+@query(f"WITH {R} SELECT config, engine FROM v GROUP BY ALL HAVING bool_or(outcome = 'meets') AND NOT bool_or(outcome = 'fails')")
+def engines_meeting(spark, sf):
+    return verdicts.engines_meeting(verdict_rows(spark, sf))
+
+
+@query(f"WITH {R}, ok AS (SELECT s.* FROM s JOIN o USING (config) WHERE outcome <> 'fails') SELECT a.config, string_agg(b.config, ',' ORDER BY b.config) AS others FROM ok a JOIN ok b ON a.config <> b.config AND abs(a.recall - b.recall) < 0.01 GROUP BY a.config")
+def indistinguishable_pairs(spark, sf):
+    return verdicts.indistinguishable(summary(spark, sf), outcomes(spark, sf))
+
+
+@query(f"WITH {R} SELECT config, round(recall, 9) AS recall, amplification, fanout, recall - 0.8 < 0.1 * (1 - 0.8) AS tight, CAST(row_number() OVER (ORDER BY CAST(recall - 0.8 < 0.1 * (1 - 0.8) AS INT), amplification, fanout, config) AS INT) AS place FROM s JOIN o USING (config) WHERE outcome = 'meets'")
+def option_ranking(spark, sf):
+    return verdicts.ranking(summary(spark, sf), outcomes(spark, sf), 0.8).withColumn("recall", F.round("recall", 9))
+
+
+@query("WITH p AS (SELECT event_type, user_id % 3 AS run, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY ALL) SELECT event_type, CASE WHEN max(p95) <= 300 THEN 'meets' WHEN min(p95) > 300 THEN 'fails' ELSE 'couldnt_check' END AS outcome, round(min(p95), 6) AS least, round(max(p95), 6) AS most FROM p GROUP BY event_type")
+def latency_verdicts(spark, sf):
+    runs = metrics.latency(table(spark, sf, "events").withColumn("run", F.col("user_id") % 3), "value", "event_type", "run")
+    return verdicts.judged_runs(runs, 300.0, "event_type").withColumns({c: F.round(c, 6) for c in ("least", "most")})
+
+
+NODES = [("small", 16.0, 0.2), ("large", 64.0, 0.7), ("huge", 256.0, 3.1)]
+
+
+@query("""WITH n(node, memory_gb, price) AS (VALUES ('small', 16.0::DOUBLE, 0.2::DOUBLE), ('large', 64.0, 0.7), ('huge', 256.0, 3.1)), x AS (SELECT CAST(s_nationkey AS VARCHAR) AS config, CAST(count(*) AS DOUBLE) * 20 AS gb FROM supplier GROUP BY 1),
+p AS (SELECT config, node, greatest(1, CAST(ceil(gb / (memory_gb * 0.7)) AS BIGINT)) AS nodes, greatest(1, ceil(gb / (memory_gb * 0.7))) * price * 730 AS cost FROM x, n)
+SELECT config, node, nodes, round(cost, 6) AS cost, round(cost * 1.2, 6) AS high, CASE WHEN cost * 1.2 <= 5000 THEN 'meets' ELSE 'fails' END AS outcome FROM p QUALIFY row_number() OVER (PARTITION BY config ORDER BY cost, node) = 1""")
+def node_costs(spark, sf):
+    needs = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("config")).agg((F.count("*").cast("double") * 20).alias("gb"))
+    out = verdicts.budget(verdicts.node_cost(needs, spark.createDataFrame(NODES, "node string, memory_gb double, price double")), 5000.0)
+    return out.select("config", "node", "nodes", F.round("cost", 6).alias("cost"), F.round("high", 6).alias("high"), "outcome")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def latest_lines(spark, sf):
+    return verdicts.latest(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"WITH {R} SELECT config, round(recall, 9) AS measured, CASE WHEN abs(recall - 0.9) <= 0.02 THEN 'verified' ELSE 'contradicted' END AS outcome FROM s")
+def published_values(spark, sf):
+    rows = summary(spark, sf).select("config", F.col("recall").alias("measured"), F.lit(0.9).alias("published"), F.lit(0.02).alias("tolerance"))
+    return verdicts.calibrated(rows).select("config", F.round("measured", 9).alias("measured"), "outcome")
+
+
+@query("WITH d AS (SELECT event_type, round(avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0), 6) AS change FROM events GROUP BY event_type) SELECT event_type, change, CASE WHEN abs(change - 0.5) < 0.1 THEN 'couldnt_check' WHEN change > 0.5 THEN 'held' ELSE 'did_not_hold' END AS outcome FROM d")
+def prediction_outcomes(spark, sf):
+    side = lambda k: F.avg(F.when(F.col("user_id") % 2 == k, F.col("value")))
+    rows = table(spark, sf, "events").groupBy("event_type").agg(side(0).alias("before"), side(1).alias("after"))
+    rows = rows.withColumns({"direction": F.lit("rises"), "threshold": F.lit(0.5), "tolerance": F.lit(0.1)})
+    return verdicts.predictions(rows).select("event_type", "change", "outcome")
+
+
+@query("WITH a AS (SELECT CAST(n_nationkey AS VARCHAR) AS path, n_name AS x FROM nation), b AS (SELECT CAST(s_nationkey AS VARCHAR) AS path, CAST(count(*) AS VARCHAR) AS y FROM supplier GROUP BY 1) SELECT path, x, y FROM a FULL JOIN b USING (path) WHERE x IS DISTINCT FROM y AND path <> '0'")
+def replay_differences(spark, sf):
+    one = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.col("n_name").alias("value"))
+    two = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("path")).agg(F.count("*").cast("string").alias("value"))
+    return verdicts.replayed(one, two, ("0",))

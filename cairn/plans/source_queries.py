@@ -1 +1,42 @@
-"""Queries."""
+"""Queries of readers and cleaners over the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cairn.operators.vectors import usable
+from cairn.plans.registry import query, table
+from cairn.sources import loaders
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dim FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0")
+def vector_scan(spark, sf):
+    df = usable(loaders.vectors(spark, f"{sf}/embeddings.parquet", "vec_id"))
+    return df.select("vec_id", F.size("embedding").alias("dim"))
+
+
+@query("""WITH e AS (SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')) AS d, count(*) AS n FROM documents GROUP BY 1),
+g AS (SELECT substr(d, 1, 2) AS g, sha256(string_agg(d || ':' || n, chr(10) ORDER BY d || ':' || n)) AS h FROM e GROUP BY 1)
+SELECT sha256(string_agg(g || ':' || h, chr(10) ORDER BY g)) AS digest FROM g""")
+def manifest_digest(spark, sf):
+    return loaders.digest(table(spark, sf, "documents"), F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+
+
+@query("SELECT vec_id, 'train-0' || CAST(ntile(4) OVER (ORDER BY vec_id) - 1 AS VARCHAR) || '-of-04' AS shard FROM embeddings")
+def benchmark_shards(spark, sf):
+    return loaders.train_shards(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 4)
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```.*?```', ' ', 'gs'), '`([^`]*)`', '\\1', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\s+', ' ', 'g')) AS body FROM documents")
+def clean_bodies(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", loaders.clean_markup(F.col("text")).alias("body"))
+
+
+@query()
+def page_texts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", loaders.visible_text(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id AS id, text AS body, lang AS category FROM documents")
+def field_map(spark, sf):
+    return loaders.renamed(table(spark, sf, "documents"), {"id": "doc_id", "body": "text", "category": "lang"}).select("id", "body", "category")
