@@ -379,11 +379,26 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
             docs_of, back = np.unique(keys, return_inverse=True)
             each = lambda v: np.bincount(back, np.repeat(v, times), len(docs_of))
             out = [docs_of, each(np.log10(found + 1.0)), each(logs(found, spelt, np.zeros(len(found), dtype=bool))), each(found > 0).astype(np.int64)]
-        return pa.table([pa.array(x) for x in out], names=["key", "base", "model", "known"])
+        dest = (out[0] % parts).astype(np.int32)
+        order = np.argsort(dest, kind="stable")
+        to = np.unique(dest)
+        at = np.append(np.searchsorted(dest[order], to), len(dest))
+        return pa.table([pa.array(to, pa.int32()), *(tk.binary(x[order], at) for x in out)], names=["dest", "key", "base", "model", "known"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.float64, np.float64, np.int64)
+        got = [[tk.unpacked(batch.column(1 + i), kind)[0] for i, kind in enumerate(kinds)] for batch in batches]
+        if got:
+            key, *rest = map(np.concatenate, zip(*got, strict=True))
+            key, back = np.unique(key, return_inverse=True)
+            sums_of = [np.bincount(back, x, len(key)) for x in rest]
+            sums_of[2] = np.round(sums_of[2]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums_of)], names=["key", "base", "model", "known"])
 
     mine = passed.df.where("bucket is not null").select("bucket", "names", "spelt", "times", "keys")
     theirs = counts.df.select((F.col("bucket") % buckets).alias("bucket"), "hashes", "counts")
-    rare = mine.groupBy("bucket").cogroup(theirs.groupBy("bucket")).applyInArrow(rare_words, "key long, base double, model double, known long")
+    rare = mine.groupBy("bucket").cogroup(theirs.groupBy("bucket")).applyInArrow(rare_words, "dest int, key binary, base binary, model binary, known binary")
+    rare = rare.repartition(parts, "dest").mapInArrow(summed, "key long, base double, model double, known long")
     rare = rare.select("key", "base", "model", "known", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"))
     per_key = whole.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("base", "model", "known", "n", "rows")))
     # rows with the same id and text have one key and like sums
