@@ -103,13 +103,15 @@ def hits(
         F.array(entry(F.lit(-1), F.lit(0), F.lit(None).cast("long"), nothing)),  # carries n for documents without a hit
         F.transform("at", lambda p: entry(p, F.lit(span), F.get("low", p), F.slice("gram", p + 1, F.lit(span - k + window)))),
     ]
-    for n in lengths:
-        ends = (F.col("n") - n).cast("int")
-        marks.append(
-            F.when(ends >= 0, F.transform(F.sequence(F.lit(0), ends), lambda p, n=n: entry(p, F.lit(n), F.xxhash64(F.lit(n).cast("long"), F.slice("wh", p + 1, F.lit(n))), nothing))).otherwise(
-                F.array().cast("array<struct<p:int,len:int,fp:bigint,grams:array<bigint>>>")
-            )
-        )
+    none = F.array().cast("array<struct<p:int,len:int,fp:bigint,grams:array<bigint>>>")
+
+    def whole(width: int) -> Column:
+        """All grams of a short item's length. (The lambda takes one argument: a second would be the index.)"""
+        ends = (F.col("n") - width).cast("int")
+        made = F.transform(F.sequence(F.lit(0), F.greatest(ends, F.lit(0))), lambda p: entry(p, F.lit(width), F.xxhash64(F.lit(width).cast("long"), F.slice("wh", p + 1, F.lit(width))), nothing))
+        return F.when(ends >= 0, made).otherwise(none)
+
+    marks += [whole(n) for n in lengths]
     marked = g.select("doc_id", "text_hash", "n", F.explode(F.concat(*marks)).alias("m")).select("doc_id", "text_hash", "n", "m.*")
 
     small = spans.count() <= BROADCAST_ROWS
