@@ -248,6 +248,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     values, vectors = np.linalg.eigh(marks.kernel(chosen).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
     positives, negatives = dict.fromkeys([*seeds, *sorted(u for u in worth if not worth[u])]), dict.fromkeys(clean)
+    negatives[""] = None  # half of the clean weight: what is like no landmark is clean
+    df[0][""] = sum(df[0].values())
     every = sorted({u for bag in bags for u in bag})
     place = {u: i for i, u in enumerate(every)}
     model = Model(None, None, 0.0, 1.0, 0.0)

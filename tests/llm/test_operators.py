@@ -1,0 +1,266 @@
+"""Each operator on rows that are null, empty, repeated, very long or carry extra columns, and against plain versions."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, embedding_dedup, language_id, lm_score, mixture, secret_scan, shingle_join, token_count, toxicity, url_filter
+from cairn.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 0.5, 1) for i, t in texts], DOCS)
+
+
+def odd_texts():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(12)]
+    near = [" ".join(w if rng.random() > 0.02 else "zz" for w in b.split()) for b in base for _ in range(4)]
+    texts = [None, "", "   ", "one", "one two", "one two three four five", "ONE two three four five", "é ü ß", "x " * 30_000, *base, *near, base[0], base[0].upper()]
+    return [*enumerate(texts), (None, base[1]), (None, None), (5, texts[5])]
+
+
+def plain_words(text, pattern=r"[^\x20\x09-\x0D]+"):
+    return re.findall(pattern, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def reach(n, links):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in links:
+        up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(n)]
+
+
+def test_shingle_join_is_brute_force(spark):
+    texts = odd_texts()
+    sets = []
+    for _, t in texts:
+        w = plain_words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    roots = reach(len(sets), pairs)
+    want = []
+    for i, (doc, _) in enumerate(texts):
+        ids = [texts[j][0] for j in range(len(texts)) if roots[j] == roots[i] and texts[j][0] is not None]
+        want.append((doc, len(sets[i]), min(ids) if ids and sets[i] else doc))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs_of(spark, texts)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_shingle_join_of_borderline_copies(spark):
+    """Copies near the threshold, whose links pivots hardly find."""
+    rng = np.random.default_rng(8)
+    base = [f"v{i}" for i in range(120)]
+    texts = [(i, " ".join(w if rng.random() > 0.04 else f"q{rng.integers(9999)}" for w in base)) for i in range(150)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in texts]
+    pairs = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert 0 < len(pairs) < 150 * 149 / 2
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(150)] == reach(150, pairs)
+
+
+def test_shingle_join_of_no_rows(spark):
+    assert shingle_join.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (3, 5), (7, None)], "a long, b long")
+    assert {r.node: r.label for r in components(edges).collect()} == {5: 3, 4: 3, 3: 3, 9: 8, 8: 8}
+
+
+def test_decontamination_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"t{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(words, 25))) for i in range(6)] + [(7, "short item here"), (8, ""), (9, None), (None, "lone words"), (3, "extra words of three"), (10, "a a a a a a a a a a a a a a")]
+    texts = [(i, " ".join(rng.choice(words, 15)) + " " + " ".join(items[i % 6][1].split()[k : k + 9 + i % 4]) + " tail") for i, k in enumerate(rng.integers(0, 12, 40))]
+    texts += [(100, None), (101, ""), (102, "Short, item; HERE now"), (103, "x " + "a " * 40), (104, "lone  words"), (104, "lone  words"), (105, "lone")]
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    want = set()
+    for doc, text in texts:
+        w, hit, of = plain_words(text, pattern), set(), set()
+        for item, t in items:
+            v = plain_words(t, pattern)
+            n = min(10, len(v))
+            spans = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in spans:
+                    hit.update(range(i, i + n))
+                    of.add("" if item is None else str(item))
+        want.add((doc, len(w), len(hit), ",".join(sorted(of))))
+    bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, score double")
+    found = decontaminate.contamination(docs_of(spark, texts), bench).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found} == want
+    assert len(found) == len(want)
+    assert not any(r.contaminated for r in decontaminate.contamination(docs_of(spark, texts), bench.limit(0)).collect())
+
+
+def test_embeddings_are_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((40, 16))
+    x = np.concatenate([base, base[:20] + 0.2 * rng.standard_normal((20, 16)), base[:5], 2 * base[:3]])
+    rows = [(i, [float(np.float32(v)) for v in r], i % 20 % 2) for i, r in enumerate(x)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, rows[0][1], None), (204, [], 0), (205, [None] * 16, 0)]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "vec_id long, embedding array<float>, label int, text string, kept int")
+    good = [r for r in rows if r[0] < 200]
+    m = np.array([r[1] for r in good])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good])[None])
+    np.fill_diagonal(near, False)
+    roots = reach(len(good), [tuple(p) for p in np.argwhere(near)])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    missed = sum(got[i] != (int(near[i].sum()), roots[i], roots[i] == i) for i in range(len(good)))
+    assert missed <= 2 and near.sum() > 20
+    assert all(got[i] == (0, i, True) for i in range(200, 206))
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(8) + 0.02 * rng.standard_normal((60, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 16)
+    assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(59, 0)}
+
+
+URLS = ["http://a.com/x", "https://WWW.Example.COM/en/1?q#f", "https://example.com/en", "http://example.com/en/", "http://m.example.net/fr/2", "http://net/es/", "nourl", None, "", "http://com", "x://notexample.com/en/", "http://a.b.c.net/es/x", "ftp://h/\npath?x"]
+
+
+def test_url_rules(spark):
+    rules = [url_filter.Rule.read(r) for r in url_filter.RULES]
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)] + [(None, URLS[0], "h", "r")], "page_id long, url string, html string, rule string")
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.key), len(r.host)), default=None)
+        return host, path, best and best.key, best.verdict if best else "allow"
+
+    for r in url_filter.judge(df, rules).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == plain(URLS[r.page_id or 0])
+    assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
+    assert url_filter.judge(df.limit(0), rules).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.judge(df, [url_filter.Rule.read("allow a/"), url_filter.Rule.read("block a/")])
+
+
+def test_token_counts_are_the_library_s(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*odd_texts(), (900, "<s> ▁▁x \x00 日本 🙂\r\n\t  </s>"), (901, "a" * 5000)]
+    got = token_count.token_counts(docs_of(spark, texts), path).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in texts)
+
+
+def test_lm_scores(spark):
+    texts = odd_texts()
+    df = docs_of(spark, texts).withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(-1)) != 2)
+    learns = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    count = Counter(w for i, t in texts if learns(i) for w in [*plain_words(t), None])
+    n, v = sum(count.values()), len(count)
+    want = Counter()
+    for i, t in texts:
+        w = [*plain_words(t), None]
+        want[(i, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 3))] += 1
+    rows = lm_score.scores(df).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in rows) == want
+    assert all(r.score < 0 for r in rows)
+    assert all(r.train_tokens == 0 and r.base_score == 0 for r in lm_score.scores(df.withColumn("train", F.lit(False))).collect())
+
+
+def test_spelling_sums_to_one():
+    words = ["aab", "ab", "abc", "b"]
+    grams = Counter()
+    for w in words:
+        line = [32, *w.encode(), 32]
+        for k in range(1, lm_score.ORDER + 1):
+            for i in range(max(1, k - 1), len(line)):
+                g = 1
+                for b in line[i - k + 1 : i + 1]:
+                    g = (g << 8) | b
+                grams[g] += 1
+    machine = lm_score.Automaton(np.array(list(grams)), np.array(list(grams.values())))
+    total, left = 0.0, 1.0
+    letters = [bytes([b]) for b in range(256) if b != 32]
+    one = np.frombuffer(b"".join(letters), np.uint8)
+    at = np.arange(len(one))
+    single = 10.0 ** machine.spell(one, at, at + 1)
+    total = single.sum() + 10.0 ** machine.spell(one, np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+    assert 0 < total < left and machine.spell(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]))[0] > machine.spell(np.frombuffer(b"zz", np.uint8), np.array([0]), np.array([2]))[0]
+
+
+def test_toxicity_learns_and_tolerates_gaps(spark):
+    rng = np.random.default_rng(1)
+    words = ["table", "river", "green", "walking", "quiet", "letter", "window", "seven", "garden", "morning"]
+    bad = ["idiot", "moron", "pathetic"]
+    texts = [(i, " ".join(rng.choice(words, 30)) + (f" {bad[i % 3]} end" if i % 4 == 0 else " end")) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [*texts, (500, None), (501, ""), (502, "you i d i o t"), (503, "an id.iot here"), (None, "green garden")])
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(240))
+    assert got[500] == got[501] < 0.5 and got[502] > 0.5 and got[503] > 0.5 and got[None] < 0.5
+    none = toxicity.train(docs, labels.limit(0))
+    assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
+
+
+def test_languages(spark):
+    texts = {"en": "the house and the garden were quiet that morning", "de": "das haus und der garten waren still an diesem morgen", "fr": "la maison et le jardin étaient calmes ce matin"}
+    train = spark.createDataFrame([(t, k) for k, t in texts.items()] + [(None, "en"), ("x", None)], "text string, lang string")
+    model = language_id.train(train)
+    html = lambda lang, body: f"<html lang='{lang}'><body><p>{body}</p></body></html>"
+    pages = spark.createDataFrame(
+        [(1, "http://a.fr/", html("fr", "le jardin et la maison")), (2, None, "das haus und der garten"), (3, "http://a.fr/x", html("fr", "")), (4, None, None), (5, "bad", "123 456"), (None, "http://b.de/", "der garten still")], "page_id long, url string, html string"
+    )
+    got = {r.page_id: r.lang for r in language_id.identify_pages(pages, model).collect()}
+    assert got == {1: "fr", 2: "de", 3: "fr", 4: "und", 5: "und", None: "de"}
+    empty = language_id.train(train.limit(0))
+    assert {r.lang for r in language_id.identify_pages(pages, empty).collect()} == {"und"}
+    kept = language_id.accepted(docs_of(spark, [(1, texts["en"]), (2, None), (2, "12 34"), (None, texts["de"]), (1, texts["en"])]), model)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+
+
+def test_secrets(spark):
+    forest = secret_scan.train()
+    held = secret_scan.labelled_findings(400, 77)
+    p = forest.probability(np.array([secret_scan.features(*f[:4]) for f in held]))
+    assert np.mean((p >= 0.5) == np.array([f[4] for f in held])) > 0.95
+    texts = [(1, 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'), (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 ok"), (3, None), (4, ""), (5, "plain words only"), (1, 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end')]
+    docs = docs_of(spark, texts)
+    found = [(r.doc_id, r.start, r.end) for r in secret_scan.scan(docs, forest).where("secret").collect()]
+    assert found == [(1, 11, 51), (1, 11, 51)]
+    out = {r.doc_id: r for r in secret_scan.redacted(docs, forest).collect()}
+    assert out[1].text == 'é token = "[SECRET]" end' and out[1].n_chars == len(out[1].text) and out[2].text == texts[1][1] and out[3].text is None
+
+
+def test_mixture(spark):
+    docs = docs_of(spark, [(i, "word " * (5 + i % 7)) for i in range(300)] + [(None, None), (301, ""), (5, "word")])
+    rows = mixture.probabilities(docs, targets={"source": {"s0": 0.2, "s1": 0.3, "s2": 0.5}}).collect()
+    assert len(rows) == 303 and all(0 <= r.probability <= 1 for r in rows)
+    total = sum(r.tokens for r in rows)
+    by = Counter()
+    for r in rows:
+        by[r.source] += r.tokens * r.probability
+    assert sum(by.values()) == pytest.approx(total / 2, rel=0.02)
+    assert by["s2"] / sum(by.values()) == pytest.approx(0.5, abs=0.03)
+    kept = mixture.mixed(docs)
+    assert kept.columns == [*docs.columns, "mix_probability"]
+    assert mixture.probabilities(docs.limit(0)).count() == 0
