@@ -37,7 +37,7 @@ from cairn.llm.shared import Stage, shuffle_parts
 #: Shingles gathered before they are dealt to buckets (some 60 MB of a Python worker).
 DEALT = 1_500_000
 #: Hashes under which classes meet a pivot in a turn, and turns.
-PIVOTS, TURNS = 3, 3
+PIVOTS, TURNS = 3, 1
 #: Pairs made at once inside one shingle's list.
 BLOCK = 1 << 20
 
