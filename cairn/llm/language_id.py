@@ -35,6 +35,8 @@ ACCEPT, LEAST_TRIGRAMS = 0.5, 3
 STRENGTH = 10.0
 #: Bound of the training sample: rows of a language and characters of a row.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
+#: Parts in which a language's sample is first sought.
+SAMPLE_PARTS = 64
 #: Lower-cases A-Z, and turns what is neither a letter nor beyond ASCII into a space.
 FOLD = tk.LOWER.copy()
 FOLD[[b for b in range(128) if not chr(FOLD[b]).isalpha()]] = 32
@@ -76,8 +78,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> TextMo
     """From a bounded sample of texts for each label, in the order of a hash; null labels and texts aren't used."""
     usable = labelled.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = usable.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    picked = usable.select("lang", "h").distinct().withColumn("i", F.row_number().over(first)).where(F.col("i") <= SAMPLE)
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    # the least hashes of each part of a language hold those of the whole; so no task sorts all of one language
+    parted = usable.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SAMPLE_PARTS)))
+    picked = parted.withColumn("i", first("lang", "part")).where(F.col("i") <= SAMPLE)
+    picked = picked.withColumn("i", first("lang")).where(F.col("i") <= SAMPLE)
     last = {r.lang: r.h for r in picked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     languages = sorted(last)
     taken = F.lit(False)
