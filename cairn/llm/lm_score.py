@@ -263,7 +263,7 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, for every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    buckets = max(8, parts // 2)
+    buckets = 2 * parts  # one bucket is gathered at once
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     counts = Stage(word_counts(marked, "text", "train", 2 * parts, parts))
 
