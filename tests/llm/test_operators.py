@@ -264,3 +264,15 @@ def test_mixture(spark):
     kept = mixture.mixed(docs)
     assert kept.columns == [*docs.columns, "mix_probability"]
     assert mixture.probabilities(docs.limit(0)).count() == 0
+
+
+def test_long_secrets_are_taken_whole(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: "a1" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n - 2))
+    forest = secret_scan.train()
+    for n in (168, 600, 5000):
+        for before, value in (("key = ", draw(n)), ("Bearer ", draw(n)), ("use ", "sk-proj-" + draw(n)), ("use ", "ghp_" + draw(n)), ("use ", "xoxb-" + draw(n)), ("Bearer ", "x" * 100 + draw(n))):
+            text = f"{before}{value} end"
+            assert [c[:2] for c in secret_scan.candidates(text)] == [(len(before), len(before) + len(value))]
+    docs = docs_of(spark, [(n, f"token = '{draw(n)}' end") for n in (168, 600, 5000)])
+    assert {r.text for r in secret_scan.redacted(docs, forest).collect()} == {"token = '[SECRET]' end"}
