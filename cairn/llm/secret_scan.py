@@ -34,7 +34,7 @@ NAMED = r"(?P<name>[A-Za-z0-9_.\-]{2,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']
 FORMS = r"(?P<form>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
 RUNS = r"(?<![A-Za-z0-9+/_\-])(?P<run>(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9+/_\-])"
 #: What any candidate needs; texts without it are passed over at once.
-HINT = re.compile(r"[=:]\s{0,3}[\"']?[^\s\"']{8}|[A-Za-z0-9+/_\-]{20}")
+HINT = re.compile(r"(?:=>|[=:])\s{0,3}[\"']?[^\s\"']{8}|[A-Za-z0-9+/_\-]{20}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8}")
 CANDIDATE = re.compile(f"{FORMS}|{NAMED}|{RUNS}")
 
 #: Words that speak for a secret, and words that speak against one.

@@ -276,3 +276,13 @@ def test_long_secrets_are_taken_whole(spark):
             assert [c[:2] for c in secret_scan.candidates(text)] == [(len(before), len(before) + len(value))]
     docs = docs_of(spark, [(n, f"token = '{draw(n)}' end") for n in (168, 600, 5000)])
     assert {r.text for r in secret_scan.redacted(docs, forest).collect()} == {"token = '[SECRET]' end"}
+
+
+def test_texts_with_candidates_have_the_hint():
+    texts = ["password => 'hT9!kd82Qz4w'", "x xoxb-12345678901 y", "x eyJhbGciOi1.eyJzdWIi1. y", "x eyJhbGciOi1.eyJzdWIi1.ab y"]
+    assert all(list(secret_scan.candidates(t)) for t in texts)
+    rng = np.random.default_rng(6)
+    pieces = ["key", "=>", ":=", "=", ":", " ", "  ", "'", '"', "xoxb-", "eyJ", "sk-", "ghp_", "AKIA", "AIza", ".", "a1B2c3D4", "ABCDEFGH12345678", "-_/+", "!@#$", "\n", "é"]
+    made = ["".join(rng.choice(pieces, 7)) for _ in range(20_000)]
+    held = [t for t in made if secret_scan.CANDIDATE.search(t)]
+    assert len(held) > 1000 and all(secret_scan.HINT.search(t) for t in held)
