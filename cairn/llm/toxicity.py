@@ -323,13 +323,13 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 each = value[np.searchsorted(known, names)][back]
                 full = np.flatnonzero(np.diff(first))
                 best[a + full] = np.maximum.reduceat(each, first[full])
-                lone = (ends - starts) == 1
-                if lone.any():
-                    three = np.flatnonzero(lone[2:] & lone[1:-1] & lone[:-2])
-                    for d in np.unique(np.searchsorted(first, three, "right") - 1):
-                        spelt = spelled(part[int(d)].as_py())
-                        if spelt:
-                            best[a + d] = max(best[a + d], model.margins(spelt).max())
+                spelt, owner = [], []  # any text may spell, as in training
+                for d, t in enumerate(part.to_pylist()):
+                    found = spelled(t)
+                    spelt += found
+                    owner += [a + d] * len(found)
+                if spelt:
+                    np.maximum.at(best, np.array(owner, dtype=np.int64), model.margins(spelt))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(best), pa.float64())], names=[*keep, "score"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in narrow.schema if x.name != "__text")

@@ -286,3 +286,17 @@ def test_texts_with_candidates_have_the_hint():
     made = ["".join(rng.choice(pieces, 7)) for _ in range(20_000)]
     held = [t for t in made if secret_scan.CANDIDATE.search(t)]
     assert len(held) > 1000 and all(secret_scan.HINT.search(t) for t in held)
+
+
+def test_toxicity_reads_all_spellings(spark):
+    rng = np.random.default_rng(1)
+    words = ["table", "river", "green", "walking", "quiet", "letter", "window", "seven", "garden", "morning"]
+    bad = ["idiot", "дурак", "pathetic"]
+    texts = [(i, " ".join(rng.choice(words, 30)) + (f" {bad[i % 3]} end" if i % 4 == 0 else " end")) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    spelt = ["you i. d. i. o. t", "you i -- d -- i -- o -- t now", "i _ d _ i _ o _ t", "ты д у р а к", "д. у. р. а. к"]
+    model = toxicity.train(docs_of(spark, texts), labels)
+    docs = docs_of(spark, [*enumerate(spelt), (9, "river g. r. e. e. n")])
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    want = {i: float(model.scores(model.margins(sorted(toxicity.text_units(t)))).max()) for i, t in enumerate(spelt)}
+    assert all(got[i] == pytest.approx(want[i]) and got[i] > 0.5 for i in want) and got[9] < 0.5
