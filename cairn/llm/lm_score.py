@@ -1,19 +1,21 @@
 """Operator 3: language-model scores by a weighted backoff automaton.
 
-Tokens are lower-cased words and one end for each text. A token's probability is its discounted
-share of the training tokens plus, for words, the mass that the discounts leave times the
-probability of its spelling:
+Tokens are lower-cased words and one end for each text. States are words (and the begin of a text): a text
+is traversed once from left to right, and each token leads to its own state. An arc is a pair of
+successive tokens of the training texts, pairs seen once included; a token without an arc takes the failure arc to the
+empty context, weighted by what the discounts leave, and is found there among all words:
 
+    P(token | word) = (max(c(word token) - D, 0) + D K(word) P(token)) / c(word)
     P(word) = (max(c - D, 0) + D V S(word)) / N        P(end) = max(c - D, 0) / N
 
+K counts the different tokens after a word; after words that aren't known, P(token) holds.
 S comes from n-grams of bytes over the distinct training words (Witten-Bell smoothed). They become states (the
 contexts) with arcs for the bytes seen after them and a failure arc, weighted by what is left, to the context
 without its first byte. A word is spelt by one left-to-right traversal that carries its state and adds up
 log-probabilities; all words of a run step together.
 
-Counts cover all training texts. Words with at least N / HOT tokens, of which there are at most HOT, are
-broadcast with their counts; tokens of rarer words go to their word's bucket, where counts and tokens meet,
-and come back as sums for each text. So no word holds more than 1 / HOT of what is shuffled.
+Counts cover all training texts. Arcs and words with at least N / HOT tokens, of which there are at most HOT each, are
+broadcast; tokens on other arcs are joined with all arcs by their pair, and those without an arc with all words.
 
 Null texts are empty: their one token is the end. A null training mark is false. Every row gives a
 row, repeated rows too, each of which trains; other columns are ignored. Without training tokens
@@ -44,6 +46,10 @@ DEALT = 800_000
 #: Stands for both edges of a word; no word holds it.
 EDGE = 32
 END = np.uint64(0)
+#: The context of a text's first token.
+BEGIN = np.uint64(1)
+#: Stands for the token of rows that hold a text's sums.
+WHOLE = -1
 
 
 class Automaton:
@@ -259,11 +265,57 @@ def within(df: DataFrame, column: str, most: int) -> DataFrame:
     return df.where(F.col(column) >= least)
 
 
+def steps_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, token and text of each step of a traversal, ends included."""
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size + 1)
+    token = np.full(len(doc), END, dtype=np.uint64)
+    token[np.arange(len(words)) + np.repeat(np.arange(len(size)), size)] = words
+    context = np.concatenate([[BEGIN], token[:-1]]) if len(token) else token
+    context[np.cumsum(size + 1) - (size + 1)] = BEGIN
+    return context, token, doc
+
+
+def pair_hashes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return tk.mixed(tk.mixed(context) * tk.STEP + token)
+
+
+def pair_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
+    """(h, w, c): all pairs of a context and a token of the training texts."""
+
+    def total(held: list) -> tuple:
+        h, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, one, back = np.unique(pair_hashes(h, w), return_index=True, return_inverse=True)
+        return h[one], w[one], np.bincount(back, c, len(one)).astype(np.int64)
+
+    def sent(held: list) -> pa.RecordBatch:
+        h, w, c = total(held)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["h", "w", "c"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            texts = tk.filled(batch.column(0))
+            for a, b in tk.runs(texts):
+                data, at = tk.chars(texts.slice(a, b - a))
+                data = tk.LOWER[data]
+                starts, ends, first = tk.word_spans(data, at)
+                h, w, _ = steps_of(tk.word_hashes(data, starts, ends), first)
+                held.append(total([(h, w, np.ones(len(h)))]))
+                n += len(held[-1][0])
+                if n >= DEALT:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
+
+    return docs.where(F.col(train)).select(text).mapInArrow(f, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
+
 def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, for every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    buckets = 2 * parts  # one bucket is gathered at once
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     counts = Stage(word_counts(marked, "text", "train", 2 * parts, parts))
 
@@ -275,132 +327,119 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
     total = counts.df.select("counts").mapInArrow(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
     least = max(1, -(-tokens // HOT))
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, h = tk.unpacked(batch.column(1), np.int64)[0], tk.unpacked(batch.column(0), np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(h[c >= least].view(np.int64)), pa.array(c[c >= least])], names=["h", "c"])
-
-    hot = counts.df.select("hashes", "counts").mapInArrow(often, "h long, c long").toPandas()  # at most HOT rows
     grams = within(byte_grams(counts.df), "n", NGRAMS).toPandas()
-    order = np.argsort(hot["h"].to_numpy(np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(
-        (Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)), hot["h"].to_numpy(np.int64).view(np.uint64)[order], hot["c"].to_numpy(np.int64)[order])
-    )
+    speller = spark.sparkContext.broadcast(Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)))
+    del grams
     base = math.log10(tokens + kinds + 1)
 
     def logs(c: np.ndarray, spelt: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """log10 P of tokens with count c; spelt: log10 S."""
+        """log10 P of tokens with count c in the empty context; spelt: log10 S."""
         if not tokens:
             return np.where(end, 0.0, spelt) - math.log10(2)
         return np.log10(np.maximum(np.maximum(c - DISCOUNT, 0) + np.where(end, 0.0, DISCOUNT * kinds * 10.0**spelt), 1e-300)) - math.log10(tokens)
 
-    none = pa.nulls
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, names_hot, c_hot = sent.value
-        spot = np.searchsorted(names_hot, END)
-        c_end = int(c_hot[spot]) if spot < len(names_hot) and names_hot[spot] == END else 0
-        at_end = float(logs(np.array([c_end]), np.zeros(1), np.array([True]))[0])
-        held, n = [], 0
-
-        def deal() -> pa.RecordBatch:
-            names, spelt, times, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((names >> np.uint64(32)) % np.uint64(2 * parts)).astype(np.int32) % buckets
-            order = np.argsort(bucket, kind="stable")
-            begin = np.cumsum(times) - times
-            keys = Lists.take(keys, begin[order], (begin + times)[order])
-            names, spelt, times, bucket = names[order], spelt[order], times[order], bucket[order]
-            which = np.unique(bucket)
-            at = np.append(np.searchsorted(bucket, which), len(bucket))
-            keys_at = np.concatenate([[0], np.cumsum(times)])[at]
-            k = len(which)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(which), tk.binary(names, at), tk.binary(spelt, at), tk.binary(times.astype(np.int32), at), tk.binary(keys, keys_at), *(none(k, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))],
-                names=columns,
-            )
-
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, c, data, size = (tk.unpacked(batch.column(k).slice(i, 1), kind)[0] for k, kind in enumerate((np.uint64, np.int64, np.uint8, np.int32)))
+                ends = np.cumsum(size.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(c), pa.array(logs(c, speller.value.spell(data, ends - size, ends), names == END))], names=["x", "c", "p"])
+
+    pairs = Stage(pair_counts(marked, "text", "train"))
+    words = counts.df.select("hashes", "counts", "words", "sizes").mapInArrow(weighed, "x long, c long, p double")
+    after = pairs.df.groupBy(F.col("h").alias("x")).agg(F.sum("c").alias("n"), F.count("*").alias("k")).withColumn("fail", F.log10(F.lit(DISCOUNT) * F.col("k") / F.col("n"))).drop("k")
+    known = Stage(words.join(after, "x", "full"))  # x, c, p, n, fail: p in the empty context, fail the failure arc
+    often = F.coalesce("c", "n") >= least
+    hot, rare = known.df.where(often), known.df.where(~often)  # hot: at most HOT rows and the begin
+
+    def found(df: DataFrame, on: str, *columns: str) -> DataFrame:
+        """Each row of `df` with `columns` of its word; only rare words are shuffled."""
+        at = [F.col("x").alias(on), *(F.col(c).alias(f"{on}_{c}") for c in columns)]
+        few = F.broadcast(hot.select(*at))
+        return df.join(few, on).unionByName(df.join(few, on, "left_anti").join(rare.select(*at), on))
+
+    arcs = found(found(pairs.df, "h", "n", "fail"), "w", "c", "p")
+    weight = F.log10(F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("h_n") + F.pow(F.lit(10.0), F.col("h_fail") + F.col("w_p")))
+    arcs = Stage(arcs.select("h", "w", "c", weight.alias("arc"), F.log10(F.col("w_c") + 1.0).alias("arc_base")))
+    common = arcs.df.where(F.col("c") >= least).toPandas()  # at most HOT rows
+    names = pair_hashes(common["h"].to_numpy(np.int64).view(np.uint64), common["w"].to_numpy(np.int64).view(np.uint64))
+    order = np.argsort(names)
+    sent = spark.sparkContext.broadcast((names[order], common["arc"].to_numpy(float)[order], common["arc_base"].to_numpy(float)[order]))
+
+    def traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each text's common arcs, and its other steps with the log10 P of an unknown word of that spelling."""
+        names, arc, arc_base = sent.value
         for batch in batches:
             texts, row_keys = tk.filled(batch.column(1)), batch.column(0).to_numpy()
             for a, b in tk.runs(texts):
                 data, at = tk.chars(texts.slice(a, b - a))
                 data = tk.LOWER[data]
                 starts, ends, first = tk.word_spans(data, at)
-                keys = row_keys[a:b]
-                names, one, back = distinct(data, starts, ends)
-                spelt = machine.spell(data, starts[one], ends[one])
-                if len(names_hot):
-                    spot = np.minimum(np.searchsorted(names_hot, names), len(names_hot) - 1)
-                    c = np.where(names_hot[spot] == names, c_hot[spot], 0)
-                else:
-                    c = np.zeros(len(names), dtype=np.int64)
-                known = c > 0
-                lb, lm = np.where(known, np.log10(c + 1.0), 0.0), np.where(known, logs(c, spelt, np.zeros(len(c), dtype=bool)), 0.0)
-                n_docs = b - a
+                keys, n_docs = row_keys[a:b], b - a
+                word = tk.word_hashes(data, starts, ends)
+                h, w, doc = steps_of(word, first)
+                pair = pair_hashes(h, w)
+                spot = np.minimum(np.searchsorted(names, pair), max(0, len(names) - 1))
+                hit = names[spot] == pair if len(names) else np.zeros(len(pair), dtype=bool)
+                of = lambda v: np.bincount(doc[hit], v, n_docs)
+                spot = spot[hit]
                 yield pa.RecordBatch.from_arrays(
-                    [none(n_docs, pa.int32()), *(none(n_docs, pa.binary()) for _ in range(4)), pa.array(keys), pa.array(tk.sums(lb[back], first) + math.log10(c_end + 1)), pa.array(tk.sums(lm[back], first) + at_end),
-                     pa.array(tk.sums(known[back].astype(np.int64), first) + (c_end > 0)), pa.array(np.diff(first) + 1)],
-                    names=columns,
-                )
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    place = np.full(len(names), -1)
-                    place[rare] = np.arange(len(rare))
-                    word = place[back]
-                    where = np.flatnonzero(word >= 0)
-                    where = where[np.argsort(word[where], kind="stable")]
-                    doc = np.searchsorted(first, where, "right") - 1
-                    held.append((names[rare], spelt[rare], np.bincount(word[where], minlength=len(rare)), keys[doc]))
-                    n += len(rare) + len(where)
-                if n >= DEALT:
-                    yield deal()
-                    held, n = [], 0
-        if held:
-            yield deal()
+                    [pa.array(keys), pa.array(keys), pa.array(np.full(n_docs, WHOLE)), pa.array(np.diff(first) + 1), pa.array(of(arc[spot]).astype(float)), pa.array(of(arc_base[spot]).astype(float)), pa.array(of(None).astype(np.int64))], names=columns
+                )
+                other = np.flatnonzero(~hit)
+                if not len(other):
+                    continue
+                _, one, times = np.unique(tk.mixed(pair[other] + doc[other].astype(np.uint64) * tk.BASE), return_index=True, return_counts=True)
+                step = other[one]
+                kind, at_kind = np.unique(w[step], return_inverse=True)
+                where = np.argsort(word, kind="stable")
+                spelt = np.zeros(len(kind))
+                inside = np.flatnonzero(kind != END)
+                at_word = where[np.searchsorted(word, kind[inside], sorter=where)]
+                spelt[inside] = speller.value.spell(data, starts[at_word], ends[at_word])
+                p = logs(np.zeros(len(kind)), spelt, kind == END)[at_kind]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[doc[step]]), pa.array(h[step].view(np.int64)), pa.array(w[step].view(np.int64)), pa.array(times), pa.array(p), pa.nulls(len(step), pa.float64()), pa.nulls(len(step), pa.int64())], names=columns
+                )
 
-    columns = ["bucket", "names", "spelt", "times", "keys", "key", "base", "model", "known", "n"]
+    columns = ["key", "h", "w", "times", "model", "base", "known"]
     keyed = marked.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    passed = Stage(keyed.mapInArrow(first_pass, "bucket int, names binary, spelt binary, times binary, keys binary, key long, base double, model double, known long, n long"))
-    whole = passed.df.where("bucket is null").select("key", "base", "model", "known", "n", F.lit(1).cast("long").alias("rows"))
-
-    def rare_words(key, tokens_of: pa.Table, counts_of: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
-        if tokens_of.num_rows:
-            gather = lambda t, c, kind: np.concatenate([tk.unpacked(x, kind)[0] for x in t.column(c).chunks] or [np.zeros(0, kind)])
-            names, c = gather(counts_of, "hashes", np.uint64), gather(counts_of, "counts", np.int64)
-            order = np.argsort(names)
-            names, c = names[order], c[order]
-            mine, spelt, times, keys = gather(tokens_of, "names", np.uint64), gather(tokens_of, "spelt", np.float64), gather(tokens_of, "times", np.int32), gather(tokens_of, "keys", np.int64)
-            if len(names):
-                spot = np.minimum(np.searchsorted(names, mine), len(names) - 1)
-                found = np.where(names[spot] == mine, c[spot], 0)
-            else:
-                found = np.zeros(len(mine), dtype=np.int64)
-            docs_of, back = np.unique(keys, return_inverse=True)
-            each = lambda v: np.bincount(back, np.repeat(v, times), len(docs_of))
-            out = [docs_of, each(np.log10(found + 1.0)), each(logs(found, spelt, np.zeros(len(found), dtype=bool))), each(found > 0).astype(np.int64)]
-        dest = (out[0] % parts).astype(np.int32)
-        order = np.argsort(dest, kind="stable")
-        to = np.unique(dest)
-        at = np.append(np.searchsorted(dest[order], to), len(dest))
-        return pa.table([pa.array(to, pa.int32()), *(tk.binary(x[order], at) for x in out)], names=["dest", "key", "base", "model", "known"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.float64, np.float64, np.int64)
-        got = [[tk.unpacked(batch.column(1 + i), kind)[0] for i, kind in enumerate(kinds)] for batch in batches]
-        if got:
-            key, *rest = map(np.concatenate, zip(*got, strict=True))
-            key, back = np.unique(key, return_inverse=True)
-            sums_of = [np.bincount(back, x, len(key)) for x in rest]
-            sums_of[2] = np.round(sums_of[2]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums_of)], names=["key", "base", "model", "known"])
-
-    mine = passed.df.where("bucket is not null").select("bucket", "names", "spelt", "times", "keys")
-    theirs = counts.df.select((F.col("bucket") % buckets).alias("bucket"), "hashes", "counts")
-    rare = mine.groupBy("bucket").cogroup(theirs.groupBy("bucket")).applyInArrow(rare_words, "dest int, key binary, base binary, model binary, known binary")
-    rare = rare.repartition(parts, "dest").mapInArrow(summed, "key long, base double, model double, known long")
-    rare = rare.select("key", "base", "model", "known", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"))
-    per_key = whole.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("base", "model", "known", "n", "rows")))
+    steps = keyed.mapInArrow(traversed, "key long, h long, w long, times long, model double, base double, known long")
+    steps = steps.join(arcs.df.select("h", "w", "arc", "arc_base"), ["h", "w"], "left")
+    of_hot = lambda on, *cs: F.broadcast(hot.select(F.col("x").alias(on), F.lit(True).alias(f"{on}_hot"), *(F.col(c).alias(f"{on}_{c}") for c in cs)))
+    steps = steps.join(of_hot("h", "fail"), "h", "left").join(of_hot("w", "c", "p"), "w", "left")
+    whole, on_arc, times = F.col("base").isNotNull(), F.col("arc").isNotNull(), F.col("times")
+    fails = ~whole & ~on_arc
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    passed = Stage(
+        steps.select(
+            "key",
+            F.when(whole, F.col("model")).when(on_arc, times * F.col("arc")).otherwise(times * (F.coalesce("h_fail", zero) + F.coalesce("w_p", zero))).alias("model"),
+            F.when(whole, F.col("base")).when(on_arc, times * F.col("arc_base")).otherwise(times * F.log10(F.coalesce("w_c", none) + 1.0)).alias("base"),
+            F.when(whole, F.col("known")).when(on_arc | F.col("w_c").isNotNull(), times).otherwise(none).alias("known"),
+            F.when(whole, times).otherwise(none).alias("n"),
+            F.when(whole, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("rows"),
+            # words still to be looked up: the context for its failure arc, the token for its place in the empty context
+            F.when(fails & F.col("h_hot").isNull(), F.col("h")).alias("x_h"),
+            F.when(fails & F.col("w_hot").isNull(), F.col("w")).alias("x_w"),
+            F.when(fails, times).alias("times"),
+            F.when(fails, F.col("model")).alias("p0"),
+        )
+    )
+    open_h = passed.df.where("x_h is not null").select("key", F.col("x_h").alias("x"), "times", F.lit(None).cast("double").alias("p0"))
+    open_w = passed.df.where("x_w is not null").select("key", F.col("x_w").alias("x"), "times", "p0")
+    looked = open_h.unionByName(open_w).join(rare, "x", "left")
+    is_token = F.col("p0").isNotNull()
+    late = looked.select(
+        "key",
+        (F.col("times") * F.when(is_token, F.coalesce("p", "p0")).otherwise(F.coalesce("fail", zero))).alias("model"),
+        F.when(is_token, F.col("times") * F.log10(F.coalesce("c", none) + 1.0)).otherwise(zero).alias("base"),
+        F.when(is_token & F.col("c").isNotNull(), F.col("times")).otherwise(none).alias("known"),
+        none.alias("n"),
+        none.alias("rows"),
+    )
+    summed = ("base", "model", "known", "n", "rows")
+    per_key = passed.df.select("key", *summed).unionByName(late).groupBy("key").agg(*(F.sum(c).alias(c) for c in summed))
     # rows with the same id and text have one key and like sums
     out = marked.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(per_key, "key")
     share = lambda c: F.col(c).cast("double") / F.col("rows")

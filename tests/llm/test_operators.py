@@ -300,3 +300,37 @@ def test_toxicity_reads_all_spellings(spark):
     got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     want = {i: float(model.scores(model.margins(sorted(toxicity.text_units(t)))).max()) for i, t in enumerate(spelt)}
     assert all(got[i] == pytest.approx(want[i]) and got[i] > 0.5 for i in want) and got[9] < 0.5
+
+
+def test_lm_scores_carry_the_state(spark):
+    train = ["the cat sat on the mat", "the cat ran", "a dog sat on a mat", "the cat sat on the mat", "", None]
+    asked = ["the cat sat", "sat cat the", "the zebra sat on", "mat"]
+    texts = [*enumerate(train), *enumerate(asked, 100)]
+    df = docs_of(spark, texts).withColumn("train", F.col("doc_id") < 100)
+    sequence = lambda t: [1, *plain_words(t), 0]
+    pairs = Counter(p for t in train for p in zip(sequence(t), sequence(t)[1:], strict=False))
+    count, after, kinds = Counter(), Counter(), Counter()
+    for (h, w), c in pairs.items():
+        count[w] += c
+        after[h] += c
+        kinds[h] += 1
+    grams = Counter()
+    for line in ([32, *w.encode(), 32] for w in count if w):
+        for k in range(1, lm_score.ORDER + 1):
+            for i in range(max(1, k - 1), len(line)):
+                grams[int.from_bytes(bytes([1, *line[i - k + 1 : i + 1]]))] += 1
+    machine = lm_score.Automaton(np.array(list(grams)), np.array(list(grams.values())))
+    n, d = sum(count.values()), lm_score.DISCOUNT
+
+    def p(h, w):
+        spelt = w and 10 ** machine.spell(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+        low = (max(count[w] - d, 0) + (d * len(count) * spelt if w else 0)) / n
+        return (max(pairs[h, w] - d, 0) + d * kinds[h] * low) / after[h] if after[h] else low
+
+    want = {i: sum(math.log10(p(h, w)) for h, w in zip(sequence(t), sequence(t)[1:], strict=False)) for i, t in texts}
+    for hot in (lm_score.HOT, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm_score, "HOT", hot)
+            got = {r.doc_id: r.score for r in lm_score.scores(df).collect()}
+        assert got == {i: pytest.approx(v) for i, v in want.items()}
+    assert got[100] > got[101] + 1  # the same words in another order
