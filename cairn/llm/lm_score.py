@@ -9,7 +9,7 @@ empty context, weighted by what the discounts leave, and is found there among al
     P(word) = (max(c - D, 0) + D V S(word)) / N        P(end) = max(c - D, 0) / N
 
 K counts the different tokens after a word; after words that aren't known, P(token) holds.
-S comes from n-grams of bytes over the distinct training words (Witten-Bell smoothed). They become states (the
+S comes from n-grams of bytes over the distinct training words (Witten-Bell smoothed, all n-grams kept). They become states (the
 contexts) with arcs for the bytes seen after them and a failure arc, weighted by what is left, to the context
 without its first byte. A word is spelt by one left-to-right traversal that carries its state and adds up
 log-probabilities; all words of a run step together.
@@ -38,8 +38,6 @@ from cairn.llm.shared import Stage, shuffle_parts
 DISCOUNT = 0.75
 #: Bytes of an n-gram.
 ORDER = 5
-#: Most n-grams of the automaton; rarer ones are pruned by a count that keeps within it.
-NGRAMS = 500_000
 HOT = 100_000
 #: Words that a task gathers before it deals them out.
 DEALT = 800_000
@@ -253,18 +251,6 @@ def byte_grams(words: DataFrame) -> DataFrame:
     return words.select("words", "sizes").mapInArrow(f, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def within(df: DataFrame, column: str, most: int) -> DataFrame:
-    """Rows whose count reaches the least power of two that keeps them within `most`."""
-    steps = df.groupBy(F.floor(F.log2(column)).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # at most 63 rows
-    kept, least = 0, 1
-    for r in steps:
-        if kept + r["count"] > most:
-            least = 2 ** (r.b + 1)
-            break
-        kept += r["count"]
-    return df.where(F.col(column) >= least)
-
-
 def steps_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, token and text of each step of a traversal, ends included."""
     size = np.diff(first)
@@ -327,7 +313,7 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
     total = counts.df.select("counts").mapInArrow(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
     least = max(1, -(-tokens // HOT))
-    grams = within(byte_grams(counts.df), "n", NGRAMS).toPandas()
+    grams = byte_grams(counts.df).toPandas()
     speller = spark.sparkContext.broadcast(Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)))
     del grams
     base = math.log10(tokens + kinds + 1)
@@ -361,6 +347,8 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
     arcs = found(found(pairs.df, "h", "n", "fail"), "w", "c", "p")
     weight = F.log10(F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("h_n") + F.pow(F.lit(10.0), F.col("h_fail") + F.col("w_p")))
     arcs = Stage(arcs.select("h", "w", "c", weight.alias("arc"), F.log10(F.col("w_c") + 1.0).alias("arc_base")))
+    pairs.drop()
+    counts.drop()
     common = arcs.df.where(F.col("c") >= least).toPandas()  # at most HOT rows
     names = pair_hashes(common["h"].to_numpy(np.int64).view(np.uint64), common["w"].to_numpy(np.int64).view(np.uint64))
     order = np.argsort(names)

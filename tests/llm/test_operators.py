@@ -334,3 +334,21 @@ def test_lm_scores_carry_the_state(spark):
             got = {r.doc_id: r.score for r in lm_score.scores(df).collect()}
         assert got == {i: pytest.approx(v) for i, v in want.items()}
     assert got[100] > got[101] + 1  # the same words in another order
+
+
+def test_all_byte_grams_are_kept(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 10))]
+    df = docs_of(spark, [*((i, " ".join(words[i * 600 : i * 600 + 600])) for i in range(100)), (200, "zebra")]).withColumn("train", F.col("doc_id") < 100)
+    grams = Counter()
+    for line in ([32, *w.encode(), 32] for w in set(words)):
+        for k in range(1, lm_score.ORDER + 1):
+            grams.update(int.from_bytes(bytes([1, *line[i - k + 1 : i + 1]])) for i in range(max(1, k - 1), len(line)))
+    assert len(grams) > 500_000
+    machine = lm_score.Automaton(np.array(list(grams)), np.array(list(grams.values())))
+    spelt = 10 ** machine.spell(np.frombuffer(b"zebra", np.uint8), np.array([0]), np.array([5]))[0]
+    kinds, n, begun, d = len(set(words)) + 1, len(words) + 100, len({words[i] for i in range(0, 60_000, 600)}), lm_score.DISCOUNT
+    unknown = d * kinds * spelt / n
+    want = math.log10(d * begun / 100 * unknown) + math.log10((100 - d) / n)
+    got = lm_score.scores(df).where("doc_id = 200").first()
+    assert got.n_known == 1 and got.score == pytest.approx(want)
