@@ -1,7 +1,8 @@
 """Operator 1: mixing sources to target weights by iterative proportional fitting. Built-in functions only.
 
 Token counts are summed over cells of source, language and topic. Each round scales the cells' weights so that
-every margin in turn has its target shares (raking); after ROUNDS rounds the weights are scaled to the
+every margin in turn has its target shares (raking), for ROUNDS rounds and then until every margin is within TOLERANCE of
+its targets. Margins that can't be met (more rounds no longer bring them nearer) are reported by a warning. The weights are scaled to the
 token budget, and a cell's sampling probability is its weight over its tokens, at most 1, with what full cells can't
 give shared among the others (calibration). A document is sampled where a uniform number from the MD5 of
 its id lies below its cell's probability.
@@ -15,6 +16,8 @@ probability holds for them too. A null id hashes as ''. Rows with one id share t
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ from cairn.llm.shared import Stage
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS, FILLS = 12, 6
+#: Largest distance of a margin's shares from its targets (half the sum of differences), looked at every TURNS rounds.
+TOLERANCE, TURNS = 1e-6, 4
+#: Raking gives up where this share of the distance, at least, isn't gained twice in a row.
+GAIN = 0.001
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Cells up to this count are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
@@ -70,29 +77,52 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None)
             one = F.row_number().over(of.orderBy(*[x for x in MARGINS if x != m])) == 1
             cells = cells.withColumn("s", F.pow(share, F.lit(TEMPER[m]))).withColumn("one", one)
             cells = cells.withColumn(f"goal_{m}", F.col("s") / F.sum(F.when(F.col("one"), F.col("s"))).over(everything)).drop("s", "one")
-    held = Stage(cells)
-    for turn in range(ROUNDS):
+    held = written = Stage(cells)
+    turn, before, stuck = 0, float("inf"), 0
+    while True:
         step = held.df
         for m in MARGINS:
             step = step.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"goal_{m}"), F.sum("weight").over(Window.partitionBy(m))), F.lit(0.0)))
-        if turn % 4 == 3:
-            new = Stage(step)
-            held.drop()
-            held = new
-        else:
+        turn += 1
+        if turn % TURNS:
             held = _Lazy(step)
+            continue
+        new = Stage(step)
+        written.drop()
+        held = written = new
+        if turn < ROUNDS:
+            continue
+        away = distances(held.df, targets)
+        worst = max(away.values())
+        stuck = stuck + 1 if worst > before * (1 - GAIN) else 0
+        before = worst
+        if worst <= TOLERANCE:
+            break
+        if stuck == 2:
+            warnings.warn(f"margins that can't be met, with their distance after {turn} rounds: { {m: d for m, d in away.items() if d > TOLERANCE} }", stacklevel=2)
+            break
     return held.df.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(everything)), F.lit(0.0))).drop(*(f"goal_{m}" for m in MARGINS))
 
 
+def distances(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, float]:
+    """How far the shares of each margin are from its targets; targets of values without cells are missed."""
+    everything = Window.partitionBy(F.lit(0))
+    of = [
+        cells.groupBy(m).agg(F.sum("weight").alias("w"), F.first(f"goal_{m}").alias("goal")).select("goal", F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(everything)), F.lit(0.0)).alias("share"))
+        .agg(F.sum(F.abs(F.col("share") - F.col("goal"))).alias("off"), F.sum("goal").alias("held")).select(F.lit(m).alias("m"), "off", "held")
+        for m in MARGINS
+    ]
+    found = of[0].unionByName(of[1]).unionByName(of[2]).collect()
+    missing = lambda r: max(0.0, sum(targets[r.m].values()) - (r.held or 0.0)) if r.m in targets and r.off is not None else 0.0
+    return {r.m: ((r.off or 0.0) + missing(r)) / 2 for r in found}
+
+
 class _Lazy:
     """A step that is not written."""
 
     def __init__(self, df: DataFrame):
         self.df = df
 
-    def drop(self) -> None:
-        pass
-
 
 def calibrated(cells: DataFrame, fraction: float) -> DataFrame:
     """Adds probability: weights scaled to `fraction` of all tokens, full cells passing on what they can't give."""

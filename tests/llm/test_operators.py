@@ -352,3 +352,26 @@ def test_all_byte_grams_are_kept(spark):
     want = math.log10(d * begun / 100 * unknown) + math.log10((100 - d) / n)
     got = lm_score.scores(df).where("doc_id = 200").first()
     assert got.n_known == 1 and got.score == pytest.approx(want)
+
+
+def test_raking_meets_its_margins(spark):
+    rng = np.random.default_rng(3)
+    filled = {(f"s{i}", f"l{rng.integers(4)}", f"t{rng.integers(4)}") for i in range(20) for _ in range(5)}
+    rows = [(*c, int(np.exp(rng.normal(5, 2.5))) + 1) for c in sorted(filled)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    out = mixture.raked(cells).collect()
+    for at, m in enumerate(mixture.MARGINS):
+        goal, got = Counter(), Counter()
+        for r in rows:
+            goal[r[at]] += r[3]
+        for r in out:
+            got[r[m]] += r.weight
+        goal = {k: (v / sum(goal.values())) ** mixture.TEMPER[m] for k, v in goal.items()}
+        whole = sum(goal.values())
+        assert sum(abs(got[k] - v / whole) for k, v in goal.items()) / 2 <= 2 * mixture.TOLERANCE
+
+
+def test_margins_that_cannot_be_met_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="can't be met.*source"):
+        mixture.raked(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}).collect()
