@@ -142,3 +142,12 @@ def test_outside_chunks_get_offsets():
 
 def test_banding_is_all_but_exact_from_seven_tenths():
     assert lsh_recall(0.7) > 0.999 > lsh_recall(0.5)
+
+
+def test_all_steps_of_the_ratio_grid(spark):
+    x = np.random.default_rng(5).exponential(size=777) + 1
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(float("inf"),)] * 3, "ratio double")
+    grid = measures.ratio_grid(rows).orderBy("pct").collect()
+    assert [r.pct for r in grid] == [i / 2 for i in range(201)]
+    assert [r.ratio for r in grid] == pytest.approx(np.quantile(x, np.arange(201) / 200).tolist())
+    assert {(r.n, r.n_infinite) for r in grid} == {(780, 3)}
