@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode, which has one machine; else it refuses."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """A table written to the shared folder, so that what follows neither recomputes nor drags its lineage."""
 
@@ -32,7 +43,12 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/cairn/{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEANED, "false")
+        self.spark.conf.set(CLEANED, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANED, before)
 
     @property
     def df(self) -> DataFrame:
@@ -51,7 +67,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """A written table of keys: broadcast up to BROADCAST_KEYS rows, else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def without(df: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """Rows of `df` that match none of `gone`; `same` compares columns of both, whose names differ."""
-    gone = cut(gone.distinct())
-    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, same, "left_anti")
+    return df.join(bounded(cut(gone.distinct())), same, "left_anti")

@@ -2,16 +2,17 @@
 
 Texts with the same set are one *class*, named by a hash of the set and its size. Then
 
-1. every shingle goes to a bucket by its hash, packed with its class; a bucket sees how many
-   classes hold a shingle, and tells each class its shingles that others hold too. A class with fewer
-   of these than the smallest possible overlap, ceil(t n), links with nothing and leaves.
+1. the first 3/8 or so of each class's shingles, in the order of their hashes, go to buckets, four bytes of a shingle and of its
+   class; a class with fewer than n / 8 of them in other such prefixes links with nothing and leaves. The whole sets of the others
+   are dealt; a bucket sees how many classes hold a shingle, and tells each class its shingles that others
+   hold too. A class with fewer of these than the smallest possible overlap, ceil(t n), leaves too.
 2. what stays is ordered, unshared shingles first, then rarest first, in several orders. Linked classes share
    one of the first n - ceil(t n) + 1 shingles in each order.
 3. large groups would give all pairs. So classes are first compared with one class of equal least
    hash (a pivot, under several hashes, in some turns), which links most of a group through few pairs.
    Links inside a partial group can't change the result. So after each turn step 1 is repeated with
    shingles that several partial groups hold, and in the end classes of different groups give pairs. Pairs must be given by all orders and pass the size and position
-   filters; then their sets are compared.
+   filters; then their sets are compared. Long lists of a shingle are dealt in blocks to several tasks.
 4. components of the links, over distributed edges.
 
 Hashes have 64 bits; sets that differ are taken as equal with a chance near 2^-64 a pair.
@@ -32,14 +33,18 @@ from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
 from cairn.llm.components import components
-from cairn.llm.shared import Stage, shuffle_parts
+from cairn.llm.shared import Stage, bounded, shuffle_parts, without
 
-#: Shingles gathered before they are dealt to buckets (some 60 MB of a Python worker).
-DEALT = 1_500_000
+#: Shingles gathered before they are dealt to buckets (some 20 MB of a Python worker), and those of a bucket (some 50 MB).
+DEALT, GATHERED = 400_000, 1_000_000
+#: Classes that are broadcast as 8 bytes each; more are joined by a shuffle.
+BROADCAST_CLASSES = 2_000_000
 #: Hashes under which classes meet a pivot in a turn, and turns.
 PIVOTS, TURNS = 3, 1
 #: Pairs made at once inside one shingle's list.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Classes of a list that one task compares; longer lists are dealt in blocks of it, a task for each pair of blocks.
+SPLIT = 1024
 
 
 def overlap_of(n: np.ndarray | int, num: int, den: int):
@@ -79,6 +84,118 @@ def classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(f, f"doc_id {kind}, n_shingles long, class long")
 
 
+def prefix_of(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of n: the length of the first prefixes, and how many of a prefix's tokens another prefix must hold.
+
+    A linked pair misses at most n - ceil(t n) tokens on either side, so its first l common tokens lie in prefixes that are longer than that by l.
+    """
+    several = np.maximum(1, n // 8)
+    return n - overlap_of(n, num, den) + several, several
+
+
+def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (values & np.uint64(0xFFFFFFFF)).astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+
+
+def sent(docs: DataFrame, text: str, width: int, buckets: int, num: int, den: int) -> DataFrame:
+    """(bucket, tokens, prints): the first prefix of each text in the order of the hashes, four bytes of a token and of its class."""
+
+    def deal(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, prints = map(np.concatenate, zip(*parts, strict=True))
+        low, high = halves(tokens)
+        bucket = (high % np.uint32(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        kinds, first = np.unique(bucket[order], return_index=True)
+        at = np.append(first, len(order))
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), tk.binary(low[order], at), tk.binary(prints[order], at)], names=["bucket", "tokens", "prints"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for _, values, at in tk.shingle_sets(batch.column(0), width):
+                n = np.diff(at)
+                some = n > 0
+                p = np.zeros(len(n), dtype=np.int64)
+                p[some] = prefix_of(n[some], num, den)[0]
+                take = np.repeat(at[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+                parts.append((values[take], np.repeat(halves(class_ids(values, at).view(np.uint64))[0], p)))
+                held += len(take)
+                if held >= DEALT:
+                    yield deal(parts)
+                    parts, held = [], 0
+        if held:
+            yield deal(parts)
+
+    return docs.select(F.col(text)).mapInArrow(f, "bucket int, tokens binary, prints binary")
+
+
+def met(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(print, hits): tokens of a class's first prefix that other prefixes hold too; exact copies count as others.
+
+    Tokens and classes go by half of their hashes here: more may be found in common, never less.
+    """
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tk.unpacked(batch.column(1), np.uint32)[0].astype(np.uint64) << np.uint64(32) | tk.unpacked(batch.column(2), np.uint32)[0] for batch in batches]
+        if not held:
+            return
+        both = np.concatenate(held)
+        del held
+        both.sort()
+        token, name = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+        if not len(token):
+            return
+        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        prints, hits = np.unique(name[(same[1:] | same[:-1]) & new], return_counts=True)
+        dest = (prints % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(dest, kind="stable")
+        kinds, first = np.unique(dest[order], return_index=True)
+        at = np.append(first, len(order))
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), tk.binary(prints[order].astype(np.uint32), at), tk.binary(hits[order].astype(np.int32), at)], names=["dest", "prints", "hits"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(tk.unpacked(batch.column(1), np.uint32)[0], tk.unpacked(batch.column(2), np.int32)[0]) for batch in batches]
+        if held:
+            names, hits = map(np.concatenate, zip(*held, strict=True))
+            names, back = np.unique(names, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.bincount(back, hits, len(names)).astype(np.int64))], names=["print", "hits"])
+
+    found = dealt.repartition(buckets, "bucket").mapInArrow(f, "dest int, prints binary, hits binary")
+    return found.repartition(buckets, "dest").mapInArrow(total, "print long, hits long")
+
+
+def sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(class, n, tokens) of every text with a set; tokens packed and sorted."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values, at in tk.shingle_sets(batch.column(0), width):
+                n = np.diff(at)
+                some = np.flatnonzero(n)
+                if len(some):
+                    at = np.append(at[some], at[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, at)), pa.array(n[some].astype(np.int32)), tk.binary(values, at)], names=["class", "n", "tokens"])
+
+    return docs.select(F.col(text)).mapInArrow(f, "class long, n int, tokens binary")
+
+
+def plausible(docs: DataFrame, rows: DataFrame, text: str, width: int, parts: int, num: int, den: int) -> Stage:
+    """(class, n, tokens) of the classes whose first prefix has enough tokens that other prefixes hold, one row each."""
+    some = rows.where("class is not null")
+    size = some.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(parts, -(-size * 3 // (8 * GATHERED)))
+    hits = met(sent(docs, text, width, buckets, num, den), buckets)
+    few = "n_shingles div 8"
+    wanted = some.select("class", "n_shingles", F.col("class").bitwiseAND(0xFFFFFFFF).alias("print")).distinct()
+    chosen = Stage(wanted.join(hits, "print").where(f"hits >= greatest(1, {few})").select("class"))
+    keep = F.broadcast(chosen.df) if chosen.df.count() <= BROADCAST_CLASSES else chosen.df
+    found = sets_of(docs, text, width).join(keep, "class").groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    out = Stage(found)
+    chosen.drop()
+    return out
+
+
 DEALT_AS = "bucket int, classes binary, sizes binary, groups binary, counts binary, tokens binary"
 
 
@@ -102,45 +219,18 @@ def packets(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray | None, token
     )
 
 
-def dealt(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
-    """For some classes, their shingles of one bucket, packed."""
-
-    def deal(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        tokens = np.concatenate([v for v, _ in parts])
-        sizes = np.concatenate([np.diff(at) for _, at in parts])
-        ids = class_ids(tokens, np.concatenate([[0], np.cumsum(sizes)]))
-        _, one = np.unique(ids, return_index=True)  # copies that lie here together
-        once = np.zeros(len(ids), dtype=bool)
-        once[one] = True
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        keep = once[owner]
-        return packets(ids, sizes, None, tokens[keep], owner[keep], buckets)
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for _, values, at in tk.shingle_sets(batch.column(0), width):
-                if len(values):
-                    parts.append((values, at))
-                    held += len(values)
-                if held >= DEALT:
-                    yield deal(parts)
-                    parts, held = [], 0
-        if held:
-            yield deal(parts)
-
-    return docs.select(F.col(text)).mapInArrow(f, DEALT_AS)
-
-
 def dealt_again(sets: DataFrame, buckets: int) -> DataFrame:
-    """The same of (class, n, tokens, group)."""
+    """For some classes of (class, n, tokens, group), their shingles of one bucket, packed. Null groups: every class is its own."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, at = tk.unpacked(batch.column(2), np.uint64)
-            if len(tokens):
-                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                yield packets(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), tokens, owner, buckets)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                tokens, at = tk.unpacked(part.column(2), np.uint64)
+                if len(tokens):
+                    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                    groups = part.column(3).to_numpy() if part.column(3).null_count == 0 else None
+                    yield packets(part.column(0).to_numpy(), part.column(1).to_numpy(), groups, tokens, owner, buckets)
 
     return sets.select("class", "n", "tokens", "group").mapInArrow(f, DEALT_AS)
 
@@ -244,7 +334,10 @@ def pivots(sets: DataFrame, ways: range) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
-    """(token, class, n, at): the prefix of each class in order `way`; at: the place in the whole order."""
+    """(slot, side, class, n, at): the prefix of each class in order `way`; at: the place in the whole order.
+
+    A slot is a token's list or, where it is long, a pair of its blocks; classes of different sides meet, or all of side 2.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,11 +350,19 @@ def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
             place = np.arange(len(tokens)) - np.repeat(at[:-1], k) + np.repeat(n - k, k)
             ahead = place < np.repeat(n - overlap_of(n, num, den) + common(n), k)
             picked = order[ahead]
+            token, blocks = tokens[picked], -(-df[picked].astype(np.int64) // SPLIT)
+            copy = np.repeat(np.arange(len(picked)), blocks)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = (tk.mixed(ids[row[picked]].view(np.uint64) ^ token) % blocks.astype(np.uint64)).astype(np.int64)[copy]
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            slot = tk.mixed(token[copy] + low.astype(np.uint64) * tk.STEP + high.astype(np.uint64) * tk.BASE)
+            side = np.where(low == high, 2, own == high).astype(np.int8)
+            picked, place = picked[copy], place[ahead][copy]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[picked].view(np.int64)), pa.array(ids[row[picked]]), pa.array(n[row[picked]].astype(np.int32)), pa.array(place[ahead].astype(np.int32))], names=["token", "class", "n", "at"]
+                [pa.array(slot.view(np.int64)), pa.array(side), pa.array(ids[row[picked]]), pa.array(n[row[picked]].astype(np.int32)), pa.array(place.astype(np.int32))], names=["slot", "side", "class", "n", "at"]
             )
 
-    return sets.mapInArrow(f, "token long, class long, n int, at int")
+    return sets.mapInArrow(f, "slot long, side byte, class long, n int, at int")
 
 
 def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) -> DataFrame:
@@ -285,26 +386,23 @@ def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) ->
         got = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if not got:
             return
-        token, ids, n, at, group = map(np.concatenate, zip(*got, strict=True))
-        order = np.lexsort((n, token))
-        token, ids, n, at, group = token[order], ids[order], n[order].astype(np.int64), at[order].astype(np.int64), group[order]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else [], len(token)).astype(np.int64)
-        until = np.repeat(edges[1:], np.diff(edges))  # where each row's list ends
+        slot, side, ids, n, at, group = map(np.concatenate, zip(*got, strict=True))
+        if not len(slot):
+            return
+        order = np.lexsort((n, slot))
+        slot, side, ids, n, at, group = slot[order], side[order], ids[order], n[order].astype(np.int64), at[order].astype(np.int64), group[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        listed = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slot))))
         # sizes rise inside a list: partners of row i are those after it with n <= n_i den / num
-        most = n * den // num
-        reach = np.empty(len(n), dtype=np.int64)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            reach[a:b] = a + np.searchsorted(n[a:b], most[a:b], "right")
-        count = np.minimum(reach, until) - np.arange(len(n)) - 1
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if (group[a:b] == group[a]).all():
-                count[a:b] = 0
+        reach = np.searchsorted(listed << 32 | n, listed << 32 | n * den // num, "right")
+        count = reach - np.arange(len(n)) - 1
+        count[(np.minimum.reduceat(group, first) == np.maximum.reduceat(group, first))[listed]] = 0
         held, size = [], 0
         for lo, hi in blocks(count):
             left = np.repeat(np.arange(lo, hi), count[lo:hi])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
             need = overlap_of(n[left] + n[right], num, num + den)
-            ok = (group[left] != group[right]) & (common(need) + np.minimum(n[left] - 1 - at[left], n[right] - 1 - at[right]) >= need)
+            ok = (group[left] != group[right]) & ((side[left] != side[right]) | (side[left] == 2)) & (common(need) + np.minimum(n[left] - 1 - at[left], n[right] - 1 - at[right]) >= need)
             held.append((left[ok], right[ok]))
             size += len(held[-1][0])
             if size > BLOCK:
@@ -313,7 +411,7 @@ def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) ->
         if size:
             yield packed_pairs(*map(np.concatenate, zip(*held, strict=True)), ids, n)
 
-    return lists.select("token", "class", "n", "at", "group").repartition(parts, "token").mapInArrow(f, "way int, a long, na int, b binary, nb binary")
+    return lists.select("slot", "side", "class", "n", "at", "group").repartition(parts, "slot").mapInArrow(f, "way int, a long, na int, b binary, nb binary")
 
 
 def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> DataFrame:
@@ -374,28 +472,34 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(f, "a long, b long")
 
 
-def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of all links."""
+def weeded(sets: Stage, group, parts: int, num: int, den: int) -> tuple[Stage, int, int]:
+    """Of `sets`, what shares enough shingles with other groups: (class, n, tokens, df), their number, and parts for the next turn. Drops `sets`."""
+    size = sets.df.agg(F.sum("n")).first()[0] or 0
+    parts = max(parts, -(-size // GATHERED))
+    fewer = Stage(likely(shared_tokens(dealt_again(group(sets.df), parts), parts), parts, num, den))
+    sets.drop()
+    return fewer, fewer.df.count(), parts
+
+
+def links(docs: DataFrame, rows: DataFrame, *, text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 3) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of all links. `rows`: classes() of the same texts."""
     parts = shuffle_parts(docs.sparkSession)
-    sets = Stage(likely(shared_tokens(dealt(docs, text, width, parts), parts), parts, num, den))
+    sets, size, parts = weeded(plausible(docs, rows, text, width, parts, num, den), lambda df: df.withColumn("group", F.lit(None).cast("long")), parts, num, den)
     found = Stage(sets.df.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
     grouped = lambda df: df.withColumn("group", F.col("class"))
-    size = sets.df.count()
     for turn in range(TURNS if size else 0):
-        met = Stage(grouped(pivots(sets.df, range(turn * PIVOTS, (turn + 1) * PIVOTS))))
-        first = met.df.groupBy("way", "least").agg(F.min(F.struct("class", "group")).alias("p"))
-        apart = met.df.join(first, ["way", "least"]).where(F.col("group") != F.col("p.group"))
+        seen = Stage(grouped(pivots(sets.df, range(turn * PIVOTS, (turn + 1) * PIVOTS))))
+        first = seen.df.groupBy("way", "least").agg(F.min(F.struct("class", "group")).alias("p"))
+        apart = seen.df.join(first, ["way", "least"]).where(F.col("group") != F.col("p.group"))
         new = linked(apart.select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct(), sets.df, num, den)
         more = Stage(found.df.unionByName(new))
-        met.drop()
+        seen.drop()
         found.drop()
         found = more
         groups = components(found.df).select(F.col("node").alias("class"), F.col("label").alias("group"))
         grouped = lambda df, groups=groups: df.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
         # only links between groups matter now, and for them a class needs enough shingles that other groups hold
-        fewer = Stage(likely(shared_tokens(dealt_again(grouped(sets.df), parts), parts), parts, num, den))
-        sets.drop()
-        sets, size = fewer, fewer.df.count()
+        sets, size, parts = weeded(sets, grouped, parts, num, den)
         if not size:
             break
     given = None
@@ -407,11 +511,10 @@ def links(docs: DataFrame, *, text: str = "text", width: int = 5, num: int = 75,
     return found.df.unionByName(far.df)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 75, den: int = 100, orders: int = 3) -> DataFrame:
     """doc_id, n_shingles, class, component_id for every row of `docs`."""
     rows = Stage(classes(docs, doc_id, text, width))
-    edges = links(docs, text=text, width=width, num=num, den=den, orders=orders)
-    labels = Stage(components(edges))
+    labels = Stage(components(links(docs, rows.df, text=text, width=width, num=num, den=den, orders=orders)))
     named = rows.df.join(labels.df.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     named = named.select("doc_id", "n_shingles", "class", "label")
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -419,6 +522,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return named.join(least, "label", "left").select("doc_id", "n_shingles", "class", own.alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """`docs` with one row of each group of linked rows: that of the smallest id, a null id last, and of rows with one id that of the smallest
+    hash. Rows that are repeated as a whole are one row. Rows without a set stay, all of them. The columns are those of `docs`."""
+    row = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))  # maps have no hash
+    key = F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("id"), row.alias("row"))
+    found = near_duplicates(docs.select(key.alias("__row"), F.col(text)), doc_id="__row", text=text, **how).where("class is not null")
+    found = Stage(found.select("doc_id.id", "doc_id.row", (F.col("doc_id") == F.col("component_id")).alias("first")))
+    gone = found.df.where("not first").select(F.col("id").alias("__id"), F.col("row").alias("__row"))
+    several = Stage(found.df.where("first").groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).count().where("count > 1").drop("count"))
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & (row == F.col("__row"))
+    others = without(docs, gone.unionByName(several.df), same)
+    if not several.df.count():
+        return others
+    once = docs.join(bounded(several.df), same).dropDuplicates(["__id", "__row"]).drop("__id", "__row")
+    return others.unionByName(once)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),

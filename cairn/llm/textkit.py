@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes, a longer text alone.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 _mixer = np.random.Generator(np.random.PCG64(20260101))
 LETTER = _mixer.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -141,6 +141,8 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """One binary value for each part of `values` between successive bounds, little-endian."""
+    if int(at[-1]) * values.dtype.itemsize >= 1 << 31:
+        raise OverflowError("a packed batch must stay under 2 GiB")
     offsets = (at * values.dtype.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 

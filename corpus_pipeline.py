@@ -1,7 +1,7 @@
 """A training corpus from `documents`: five stages, each over all that the one before kept.
 
 1. language: documents whose language isn't identified go;
-2. near_duplicates: of each group of linked documents the one with the smallest id stays;
+2. near_duplicates: of each group of linked rows the one with the smallest id stays, once; an id says nothing about other rows that have it;
 3. decontamination: documents that hold a benchmark window go;
 4. secrets: confirmed secrets are masked in the text, which keeps its document;
 5. mixture: documents are sampled by raked weights.
@@ -24,9 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shingle_join.near_duplicates(docs)
-    gone = found.where((F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone"))  # a null id never goes
-    return without(docs, gone, docs["doc_id"] == F.col("gone"))
+    return shingle_join.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,13 @@ def test_each_stage_keeps_what_it_should(spark):
         if name == "secrets":
             assert len(after) == len(before) and all(r.n_chars == len(r.text) or r.text == before[i].text for i, r in after.items())
         docs = out
+
+
+def test_rows_go_by_what_they_hold(spark):
+    text = {"A": "one two three four five six", "Z": "seven eight nine ten eleven twelve", "Q": "red green blue black white grey", "e": ""}
+    rows = [(1, "A"), (2, "A"), (2, "Z"), (3, "Q"), (3, "Q"), (None, "A"), (None, "e"), (4, "e"), (4, "e")]
+    docs = spark.createDataFrame([(i, text[t], "en", "s", 9, {"k": 1}) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str((i, text[t])) for i, t in [(1, "A"), (2, "Z"), (3, "Q"), (None, "e"), (4, "e"), (4, "e")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
