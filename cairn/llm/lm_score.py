@@ -3,19 +3,21 @@
 Tokens are lower-cased words and one end for each text. States are words (and the begin of a text): a text
 is traversed once from left to right, and each token leads to its own state. An arc is a pair of
 successive tokens of the training texts, pairs seen once included; a token without an arc takes the failure arc to the
-empty context, weighted by what the discounts leave, and is found there among all words:
+empty context, weighted by m / (c(word) + m), and is found there among all words:
 
-    P(token | word) = (max(c(word token) - D, 0) + D K(word) P(token)) / c(word)
+    P(token | word) = (c(word token) + m(word) P(token)) / (c(word) + m(word))
     P(word) = (max(c - D, 0) + D V S(word)) / N        P(end) = max(c - D, 0) / N
 
-K counts the different tokens after a word; after words that aren't known, P(token) holds.
-S comes from n-grams of bytes over the distinct training words (Witten-Bell smoothed, all n-grams kept). They become states (the
+(smoothing by a Dirichlet prior, whose weight m grows slower than the word's count c; D is DISCOUNT; after words that aren't known, P(token) holds). S comes from n-grams of ORDER bytes over the
+distinct training words (Witten-Bell smoothed, all kept; there are less than 2^24 + 2^17 of them, whatever the input). They become states (the
 contexts) with arcs for the bytes seen after them and a failure arc, weighted by what is left, to the context
 without its first byte. A word is spelt by one left-to-right traversal that carries its state and adds up
 log-probabilities; all words of a run step together.
 
-Counts cover all training texts. Arcs and words with at least N / HOT tokens, of which there are at most HOT each, are
-broadcast; tokens on other arcs are joined with all arcs by their pair, and those without an arc with all words.
+Tasks traverse their texts and deal the steps by their token, packed in chunks of texts; where all
+steps to a token meet, arcs are counted and weighted and each text's share of the sums goes back to its chunk. So counts cover
+all training texts, each step is sent once, and no table of arcs is kept. A context goes by 48 bits of its hash: two contexts of one token are
+taken as one with a chance of 2^-48. `docs` must come in the same order when a task is run again, as a file scan does.
 
 Null texts are empty: their one token is the end. A null training mark is false. Every row gives a
 row, repeated rows too, each of which trains; other columns are ignored. Without training tokens
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +39,18 @@ from cairn.llm import textkit as tk
 from cairn.llm.shared import Stage, shuffle_parts
 
 DISCOUNT = 0.75
+#: Weight of the empty context beside a context's own followers: MASS * count ** GROWTH tokens, where a context with
+#: less than N / HOT tokens weighs like one that has them. So at most HOT words have a weight of their own; they are broadcast.
+MASS, GROWTH, HOT = 2.0, 0.8, 100_000
 #: Bytes of an n-gram.
-ORDER = 5
-HOT = 100_000
-#: Words that a task gathers before it deals them out.
-DEALT = 800_000
+ORDER = 3
+#: Words that a task gathers before it deals them out, texts of them at most, and steps of a bucket.
+DEALT, TEXTS, GATHERED = 800_000, 60_000, 1_000_000
 #: Stands for both edges of a word; no word holds it.
 EDGE = 32
 END = np.uint64(0)
 #: The context of a text's first token.
 BEGIN = np.uint64(1)
-#: Stands for the token of rows that hold a text's sums.
-WHOLE = -1
 
 
 class Automaton:
@@ -262,40 +265,160 @@ def steps_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return context, token, doc
 
 
-def pair_hashes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return tk.mixed(tk.mixed(context) * tk.STEP + token)
-
-
-def pair_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """(h, w, c): all pairs of a context and a token of the training texts."""
-
-    def total(held: list) -> tuple:
-        h, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, one, back = np.unique(pair_hashes(h, w), return_index=True, return_inverse=True)
-        return h[one], w[one], np.bincount(back, c, len(one)).astype(np.int64)
-
-    def sent(held: list) -> pa.RecordBatch:
-        h, w, c = total(held)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["h", "w", "c"])
+PACKET = ("words", "spelt", "arcs", "low", "high", "seen", "times", "texts", "model", "base", "known", "sizes")
+
+
+def packet(chunk: int, bucket: np.ndarray, columns: dict[str, pa.Array], ids: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
+    """Rows of one chunk: its steps to the tokens of some buckets, or sums of its texts, or (once) its texts' ids and sizes."""
+    n = len(bucket)
+    rest = [columns.get(c, pa.nulls(n, pa.binary())) for c in PACKET]
+    held = pa.nulls(n, pa.list_(kind)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), pa.array(bucket.astype(np.int32)), held, *rest], names=["chunk", "bucket", "ids", *PACKET])
+
+
+def traversed(docs: DataFrame, buckets: int, speller, schema: str) -> DataFrame:
+    """Packets of the steps of (doc_id, text, train)."""
+
+    def dealt(chunk: int, held: list, ids: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        h, w, doc, train, names, data, size = [], [], [], [], [], [], []
+        sizes, texts = [], 0
+        for words, first, trains, own, letters, lengths in held:
+            a, b, c = steps_of(words, first)
+            h.append(a)
+            w.append(b)
+            doc.append(c + texts)
+            train.append(trains)
+            sizes.append(np.diff(first) + 1)
+            texts += len(first) - 1
+            names.append(own)
+            data.append(letters)
+            size.append(lengths)
+        h, w, doc, train, names, data, size, sizes = map(np.concatenate, (h, w, doc, train, names, data, size, sizes))
+        all_ids = pa.concat_arrays([x.cast(kind) for x in ids])
+        yield packet(chunk, np.array([chunk % buckets]), {"sizes": tk.binary(sizes.astype(np.int32), np.array([0, len(sizes)]))}, all_ids, kind)
+        # the distinct tokens of the chunk, in the order of their buckets, with their spellings
+        begin = np.cumsum(size) - size
+        kinds, one = np.unique(np.append(names, END), return_index=True)
+        spelt = np.zeros(len(kinds), dtype=np.float32)
+        is_word = np.flatnonzero(kinds != END)
+        start = begin[one[is_word]]
+        spelt[is_word] = speller.value.spell(data, start, start + size[one[is_word]])
+        bucket = (kinds >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(kinds), dtype=np.int64)
+        place[order] = np.arange(len(kinds))
+        at = place[np.searchsorted(kinds, w)]
+        kinds, spelt, bucket = kinds[order], spelt[order], bucket[order]
+        short = h & np.uint64(0xFFFFFFFFFFFF)
+        order = np.lexsort((short, at))  # stable: texts stay in order
+        at, short, doc = at[order], short[order], doc[order]
+        arc = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (short[1:] != short[:-1])]))
+        times = np.diff(np.append(arc, len(at)))
+        seen = np.add.reduceat(train[doc].astype(np.int64), arc)
+        of_word = np.bincount(at[arc], minlength=len(kinds))
+        filled, word_at = np.unique(bucket, return_index=True)
+        word_at = np.append(word_at, len(kinds))
+        arc_at = np.concatenate([[0], np.cumsum(of_word)])[word_at]
+        step_at = np.append(arc, len(at))[arc_at]
+        low, high = (short[arc] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (short[arc] >> np.uint64(32)).astype(np.uint16)
+        yield packet(
+            chunk,
+            filled,
+            {
+                **{c: tk.binary(v, word_at) for c, v in (("words", kinds), ("spelt", spelt), ("arcs", of_word.astype(np.int32)))},
+                **{c: tk.binary(v, arc_at) for c, v in (("low", low), ("high", high), ("seen", seen.astype(np.int32)), ("times", times.astype(np.int32)))},
+                "texts": tk.binary(doc.astype(np.uint16), step_at),
+            },
+            None,
+            kind,
+        )
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        context = TaskContext.get()
+        chunk, held, ids, words, rows, kind = (context.partitionId() if context else 0) << 32, [], [], 0, 0, None
         for batch in batches:
-            texts = tk.filled(batch.column(0))
-            for a, b in tk.runs(texts):
+            kind = batch.schema.field(0).type
+            texts = tk.filled(batch.column(1))
+            for a, b in ((x, min(x + TEXTS, e)) for s, e in tk.runs(texts) for x in range(s, e, TEXTS)):
+                if rows + b - a > TEXTS:
+                    yield from dealt(chunk, held, ids, kind)
+                    chunk, held, ids, words, rows = chunk + 1, [], [], 0, 0
                 data, at = tk.chars(texts.slice(a, b - a))
                 data = tk.LOWER[data]
                 starts, ends, first = tk.word_spans(data, at)
-                h, w, _ = steps_of(tk.word_hashes(data, starts, ends), first)
-                held.append(total([(h, w, np.ones(len(h)))]))
-                n += len(held[-1][0])
-                if n >= DEALT:
-                    yield sent(held)
-                    held, n = [], 0
+                hashes = tk.word_hashes(data, starts, ends)
+                own, one = np.unique(hashes, return_index=True)
+                held.append((hashes, first, batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False), own, Lists.take(data, starts[one], ends[one]), (ends - starts)[one]))
+                ids.append(batch.column(0).slice(a, b - a))
+                words, rows = words + len(hashes) + b - a, rows + b - a
+                if words >= DEALT:
+                    yield from dealt(chunk, held, ids, kind)
+                    chunk, held, ids, words, rows = chunk + 1, [], [], 0, 0
         if held:
-            yield sent(held)
+            yield from dealt(chunk, held, ids, kind)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(f, schema)
+
+
+def masses(c, least: float, mass: float, growth: float):
+    """m of contexts with count c."""
+    return mass * np.maximum(c, least) ** growth
 
-    return docs.where(F.col(train)).select(text).mapInArrow(f, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
+def weighed(packets: DataFrame, tokens: int, kinds: int, prior: tuple[float, float, float], hot, schema: str) -> DataFrame:
+    """Counts and weighs the arcs to the tokens of a bucket: partial sums of each chunk's texts. The rows with ids pass through."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = [], None
+        for batch in batches:
+            kind = batch.schema.field(2).type.value_type
+            is_head = batch.column(2).is_valid()
+            yield batch.filter(is_head)
+            for row in np.flatnonzero(~is_head.to_numpy(zero_copy_only=False)).tolist():
+                one = batch.slice(row, 1)
+                held.append((one.column(0)[0].as_py(), *(tk.unpacked(one.column(3 + i), t)[0] for i, t in enumerate((np.uint64, np.float32, np.int32, np.uint32, np.uint16, np.int32, np.int32, np.uint16)))))
+        if not held:
+            return
+        words, spelt, arcs, low, high, seen = (np.concatenate([x[i] for x in held]) for i in range(1, 7))
+        names, word = np.unique(words, return_inverse=True)
+        of_arc = np.repeat(word, arcs)  # the token of each arc
+        c = np.bincount(of_arc, seen, len(names))
+        s = np.zeros(len(names))
+        s[word] = spelt
+        del words, spelt, word
+        context = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((context, of_arc))
+        new = np.concatenate([[True], (of_arc[order][1:] != of_arc[order][:-1]) | (context[order][1:] != context[order][:-1])])
+        total = np.add.reduceat(seen[order].astype(np.float64), np.flatnonzero(new))
+        count = np.empty(len(order))
+        count[order] = total[np.cumsum(new) - 1]
+        del order, new, total, low, high
+        end = names == END
+        p = logs(c, s, end, tokens, kinds)
+        own, own_mass = hot.value
+        spot = np.minimum(np.searchsorted(own, context), len(own) - 1)
+        mass = np.where(own[spot] == context, own_mass[spot], masses(0, *prior))
+        value = np.log10(count + mass * 10.0 ** p[of_arc]) - np.where(end, 0.0, np.log10(c + masses(c, *prior)))[of_arc]
+        simple = np.log10(c + 1.0)[of_arc]
+        known = (c > 0)[of_arc]
+        at = 0
+        for chunk, *_, times, texts in held:
+            mine = np.repeat(np.arange(at, at + len(times)), times)
+            at += len(times)
+            which, back = np.unique(texts, return_inverse=True)
+            sums = [np.bincount(back, v[mine], len(which)) for v in (value, simple, known)]
+            bound = np.array([0, len(which)])
+            columns = {"texts": tk.binary(which, bound), "model": tk.binary(sums[0], bound), "base": tk.binary(sums[1], bound), "known": tk.binary(sums[2].astype(np.int32), bound)}
+            yield packet(chunk, np.array([0]), columns, None, kind)
+
+    return packets.mapInArrow(f, schema)
+
+
+def logs(c: np.ndarray, spelt: np.ndarray, end: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """log10 P of tokens with count c in the empty context; spelt: log10 S."""
+    if not tokens:
+        return np.where(end, 0.0, spelt) - math.log10(2)
+    return np.log10(np.maximum(np.maximum(c - DISCOUNT, 0) + np.where(end, 0.0, DISCOUNT * kinds * 10.0**spelt), 1e-300)) - math.log10(tokens)
 
 
 def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,130 +431,60 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, at = tk.unpacked(batch.column(0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tk.sums(c, at)), pa.array(np.diff(at))], names=["n", "v"])
+            names = tk.unpacked(batch.column(1), np.uint64)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(tk.sums(c, at)), pa.array(np.diff(at)), pa.array(tk.sums(np.where(names == END, c, 0), at))], names=["n", "v", "ends"])
 
-    total = counts.df.select("counts").mapInArrow(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    tokens, kinds = int(total[0]), int(total[1])
-    least = max(1, -(-tokens // HOT))
-    grams = byte_grams(counts.df).toPandas()
+    zero = F.lit(0)
+    total = counts.df.select("counts", "hashes").mapInArrow(sums, "n long, v long, ends long").agg(*(F.coalesce(F.sum(c), zero) for c in ("n", "v", "ends"))).first()
+    tokens, kinds, ends = map(int, total)
+    grams = byte_grams(counts.df).toPandas()  # less than 2^24 + 2^17 rows
     speller = spark.sparkContext.broadcast(Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)))
     del grams
-    base = math.log10(tokens + kinds + 1)
+    # contexts with a weight of their own: the begin, and words with N / HOT tokens or more, of which there are at most HOT
 
-    def logs(c: np.ndarray, spelt: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """log10 P of tokens with count c in the empty context; spelt: log10 S."""
-        if not tokens:
-            return np.where(end, 0.0, spelt) - math.log10(2)
-        return np.log10(np.maximum(np.maximum(c - DISCOUNT, 0) + np.where(end, 0.0, DISCOUNT * kinds * 10.0**spelt), 1e-300)) - math.log10(tokens)
-
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                names, c, data, size = (tk.unpacked(batch.column(k).slice(i, 1), kind)[0] for k, kind in enumerate((np.uint64, np.int64, np.uint8, np.int32)))
-                ends = np.cumsum(size.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(c), pa.array(logs(c, speller.value.spell(data, ends - size, ends), names == END))], names=["x", "c", "p"])
-
-    pairs = Stage(pair_counts(marked, "text", "train"))
-    words = counts.df.select("hashes", "counts", "words", "sizes").mapInArrow(weighed, "x long, c long, p double")
-    after = pairs.df.groupBy(F.col("h").alias("x")).agg(F.sum("c").alias("n"), F.count("*").alias("k")).withColumn("fail", F.log10(F.lit(DISCOUNT) * F.col("k") / F.col("n"))).drop("k")
-    known = Stage(words.join(after, "x", "full"))  # x, c, p, n, fail: p in the empty context, fail the failure arc
-    often = F.coalesce("c", "n") >= least
-    hot, rare = known.df.where(often), known.df.where(~often)  # hot: at most HOT rows and the begin
-
-    def found(df: DataFrame, on: str, *columns: str) -> DataFrame:
-        """Each row of `df` with `columns` of its word; only rare words are shuffled."""
-        at = [F.col("x").alias(on), *(F.col(c).alias(f"{on}_{c}") for c in columns)]
-        few = F.broadcast(hot.select(*at))
-        return df.join(few, on).unionByName(df.join(few, on, "left_anti").join(rare.select(*at), on))
-
-    arcs = found(found(pairs.df, "h", "n", "fail"), "w", "c", "p")
-    weight = F.log10(F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("h_n") + F.pow(F.lit(10.0), F.col("h_fail") + F.col("w_p")))
-    arcs = Stage(arcs.select("h", "w", "c", weight.alias("arc"), F.log10(F.col("w_c") + 1.0).alias("arc_base")))
-    pairs.drop()
-    counts.drop()
-    common = arcs.df.where(F.col("c") >= least).toPandas()  # at most HOT rows
-    names = pair_hashes(common["h"].to_numpy(np.int64).view(np.uint64), common["w"].to_numpy(np.int64).view(np.uint64))
+            names, c = tk.unpacked(batch.column(0), np.uint64)[0], tk.unpacked(batch.column(1), np.int64)[0]
+            some = (c >= prior[0]) & (names != END)
+            yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(c[some])], names=["x", "c"])
+
+    prior = (max(tokens / HOT, 1.0), MASS, GROWTH)
+    listed = counts.df.select("hashes", "counts").mapInArrow(often, "x long, c long").toPandas()
+    names = np.append(listed["x"].to_numpy(np.int64).view(np.uint64), BEGIN) & np.uint64(0xFFFFFFFFFFFF)
+    weights = masses(np.append(listed["c"].to_numpy(np.int64), ends), *prior)
     order = np.argsort(names)
-    sent = spark.sparkContext.broadcast((names[order], common["arc"].to_numpy(float)[order], common["arc_base"].to_numpy(float)[order]))
+    hot = spark.sparkContext.broadcast((names[order], weights[order]))
+    counts.drop()
+    buckets = max(parts, -(-tokens // GATHERED))
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk long, bucket int, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in PACKET)
+    summed = weighed(traversed(marked, buckets, speller, schema).repartitionById(buckets, "bucket"), tokens, kinds, prior, hot, schema)
+    base, begin = math.log10(tokens + kinds + 1), math.log10(ends + masses(ends, *prior))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's rows lie together, that with its ids first."""
+        now, ids, n, found = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            size = pa.array(n.astype(np.int64))
+            return pa.RecordBatch.from_arrays([ids, size, pa.array(found[2].astype(np.int64)), pa.array(found[1] - n * base), pa.array(found[0] - begin)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    def traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each text's common arcs, and its other steps with the log10 P of an unknown word of that spelling."""
-        names, arc, arc_base = sent.value
         for batch in batches:
-            texts, row_keys = tk.filled(batch.column(1)), batch.column(0).to_numpy()
-            for a, b in tk.runs(texts):
-                data, at = tk.chars(texts.slice(a, b - a))
-                data = tk.LOWER[data]
-                starts, ends, first = tk.word_spans(data, at)
-                keys, n_docs = row_keys[a:b], b - a
-                word = tk.word_hashes(data, starts, ends)
-                h, w, doc = steps_of(word, first)
-                pair = pair_hashes(h, w)
-                spot = np.minimum(np.searchsorted(names, pair), max(0, len(names) - 1))
-                hit = names[spot] == pair if len(names) else np.zeros(len(pair), dtype=bool)
-                of = lambda v: np.bincount(doc[hit], v, n_docs)
-                spot = spot[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(keys), pa.array(np.full(n_docs, WHOLE)), pa.array(np.diff(first) + 1), pa.array(of(arc[spot]).astype(float)), pa.array(of(arc_base[spot]).astype(float)), pa.array(of(None).astype(np.int64))], names=columns
-                )
-                other = np.flatnonzero(~hit)
-                if not len(other):
+            chunks = batch.column(0).to_pylist()
+            for row, chunk in enumerate(chunks):
+                if chunk != now:
+                    if now is not None:
+                        yield out()
+                    ids = batch.column(2).slice(row, 1).flatten()
+                    n = tk.unpacked(batch.column(3 + PACKET.index("sizes")).slice(row, 1), np.int32)[0]
+                    now, found = chunk, np.zeros((3, len(n)))
                     continue
-                _, one, times = np.unique(tk.mixed(pair[other] + doc[other].astype(np.uint64) * tk.BASE), return_index=True, return_counts=True)
-                step = other[one]
-                kind, at_kind = np.unique(w[step], return_inverse=True)
-                where = np.argsort(word, kind="stable")
-                spelt = np.zeros(len(kind))
-                inside = np.flatnonzero(kind != END)
-                at_word = where[np.searchsorted(word, kind[inside], sorter=where)]
-                spelt[inside] = speller.value.spell(data, starts[at_word], ends[at_word])
-                p = logs(np.zeros(len(kind)), spelt, kind == END)[at_kind]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[doc[step]]), pa.array(h[step].view(np.int64)), pa.array(w[step].view(np.int64)), pa.array(times), pa.array(p), pa.nulls(len(step), pa.float64()), pa.nulls(len(step), pa.int64())], names=columns
-                )
-
-    columns = ["key", "h", "w", "times", "model", "base", "known"]
-    keyed = marked.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    steps = keyed.mapInArrow(traversed, "key long, h long, w long, times long, model double, base double, known long")
-    steps = steps.join(arcs.df.select("h", "w", "arc", "arc_base"), ["h", "w"], "left")
-    of_hot = lambda on, *cs: F.broadcast(hot.select(F.col("x").alias(on), F.lit(True).alias(f"{on}_hot"), *(F.col(c).alias(f"{on}_{c}") for c in cs)))
-    steps = steps.join(of_hot("h", "fail"), "h", "left").join(of_hot("w", "c", "p"), "w", "left")
-    whole, on_arc, times = F.col("base").isNotNull(), F.col("arc").isNotNull(), F.col("times")
-    fails = ~whole & ~on_arc
-    zero, none = F.lit(0.0), F.lit(0).cast("long")
-    passed = Stage(
-        steps.select(
-            "key",
-            F.when(whole, F.col("model")).when(on_arc, times * F.col("arc")).otherwise(times * (F.coalesce("h_fail", zero) + F.coalesce("w_p", zero))).alias("model"),
-            F.when(whole, F.col("base")).when(on_arc, times * F.col("arc_base")).otherwise(times * F.log10(F.coalesce("w_c", none) + 1.0)).alias("base"),
-            F.when(whole, F.col("known")).when(on_arc | F.col("w_c").isNotNull(), times).otherwise(none).alias("known"),
-            F.when(whole, times).otherwise(none).alias("n"),
-            F.when(whole, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("rows"),
-            # words still to be looked up: the context for its failure arc, the token for its place in the empty context
-            F.when(fails & F.col("h_hot").isNull(), F.col("h")).alias("x_h"),
-            F.when(fails & F.col("w_hot").isNull(), F.col("w")).alias("x_w"),
-            F.when(fails, times).alias("times"),
-            F.when(fails, F.col("model")).alias("p0"),
-        )
-    )
-    open_h = passed.df.where("x_h is not null").select("key", F.col("x_h").alias("x"), "times", F.lit(None).cast("double").alias("p0"))
-    open_w = passed.df.where("x_w is not null").select("key", F.col("x_w").alias("x"), "times", "p0")
-    looked = open_h.unionByName(open_w).join(rare, "x", "left")
-    is_token = F.col("p0").isNotNull()
-    late = looked.select(
-        "key",
-        (F.col("times") * F.when(is_token, F.coalesce("p", "p0")).otherwise(F.coalesce("fail", zero))).alias("model"),
-        F.when(is_token, F.col("times") * F.log10(F.coalesce("c", none) + 1.0)).otherwise(zero).alias("base"),
-        F.when(is_token & F.col("c").isNotNull(), F.col("times")).otherwise(none).alias("known"),
-        none.alias("n"),
-        none.alias("rows"),
-    )
-    summed = ("base", "model", "known", "n", "rows")
-    per_key = passed.df.select("key", *summed).unionByName(late).groupBy("key").agg(*(F.sum(c).alias(c) for c in summed))
-    # rows with the same id and text have one key and like sums
-    out = marked.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(per_key, "key")
-    share = lambda c: F.col(c).cast("double") / F.col("rows")
-    n = F.round(share("n")).cast("long")
-    return out.select(
-        "doc_id", n.alias("n_tokens"), F.round(share("known")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (share("base") - n * F.lit(base)).alias("base_score"), share("model").alias("score")
-    )
+                texts = tk.unpacked(batch.column(3 + PACKET.index("texts")).slice(row, 1), np.uint16)[0]
+                for i, (c, t) in enumerate((("model", np.float64), ("base", np.float64), ("known", np.int32))):
+                    found[i][texts] += tk.unpacked(batch.column(3 + PACKET.index(c)).slice(row, 1), t)[0]
+        if now is not None:
+            yield out()
+
+    together = summed.repartition(buckets, "chunk").sortWithinPartitions("chunk", F.col("ids").isNull())
+    rows = together.mapInArrow(gathered, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

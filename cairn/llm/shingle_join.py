@@ -161,8 +161,8 @@ def met(dealt: DataFrame, buckets: int) -> DataFrame:
             names, back = np.unique(names, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.bincount(back, hits, len(names)).astype(np.int64))], names=["print", "hits"])
 
-    found = dealt.repartition(buckets, "bucket").mapInArrow(f, "dest int, prints binary, hits binary")
-    return found.repartition(buckets, "dest").mapInArrow(total, "print long, hits long")
+    found = dealt.repartitionById(buckets, "bucket").mapInArrow(f, "dest int, prints binary, hits binary")
+    return found.repartitionById(buckets, "dest").mapInArrow(total, "print long, hits long")
 
 
 def sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -292,7 +292,7 @@ def shared_tokens(dealt_out: DataFrame, parts: int) -> DataFrame:
             [pa.array(to, pa.int32()), *(tk.binary(x, rows) for x in (names, sizes, k.astype(np.int32))), tk.binary(token, cells), tk.binary(df, cells)], names=["dest", "classes", "sizes", "counts", "tokens", "df"]
         )
 
-    return dealt_out.repartition(parts, "bucket").mapInArrow(f, "dest int, classes binary, sizes binary, counts binary, tokens binary, df binary")
+    return dealt_out.repartitionById(parts, "bucket").mapInArrow(f, "dest int, classes binary, sizes binary, counts binary, tokens binary, df binary")
 
 
 def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
@@ -316,7 +316,7 @@ def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             take = np.repeat(at[rows], k) + np.arange(cells[-1]) - np.repeat(cells[:-1], k)
             yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(n[rows]), tk.binary(token[take], cells), tk.binary(df[take], cells)], names=["class", "n", "tokens", "df"])
 
-    return shared.repartition(parts, "dest").mapInArrow(f, "class long, n int, tokens binary, df binary")
+    return shared.repartitionById(parts, "dest").mapInArrow(f, "class long, n int, tokens binary, df binary")
 
 
 def pivots(sets: DataFrame, ways: range) -> DataFrame:
