@@ -9,7 +9,8 @@ Texts with the same set are one *class*, named by a hash of the set and its size
 2. what stays is ordered, unshared shingles first, then rarest first, in several orders. Linked classes share
    one of the first n - ceil(t n) + 1 shingles in each order.
 3. large groups would give all pairs. So classes are first compared with one class of equal least
-   hash (a pivot, under several hashes, in some turns), which links most of a group through few pairs.
+   hash (a pivot, under several hashes, in some turns: the one whose shingles most others hold, so that
+   a text stands for its copies), which links most of a group through few pairs.
    Links inside a partial group can't change the result. So after each turn step 1 is repeated with
    shingles that several partial groups hold, and in the end classes of different groups give pairs. Pairs must be given by all orders and pass the size and position
    filters; then their sets are compared. Long lists of a shingle are dealt in blocks to several tasks.
@@ -42,7 +43,7 @@ BROADCAST_CLASSES = 2_000_000
 #: Hashes under which classes meet a pivot in a turn, and turns.
 PIVOTS, TURNS = 3, 1
 #: Pairs made at once inside one shingle's list.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Classes of a list that one task compares; longer lists are dealt in blocks of it, a task for each pair of blocks.
 SPLIT = 1024
 
@@ -320,17 +321,18 @@ def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
 
 
 def pivots(sets: DataFrame, ways: range) -> DataFrame:
-    """(class, way, least): the least hash of each class under the hashes `ways`."""
+    """(class, way, least, held): the least hash of each class under the hashes `ways`, and how many classes hold one of its shingles in the mean."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, at = tk.unpacked(batch.column(1), np.uint64)
             ids = batch.column(0).to_numpy()
+            held = tk.sums(tk.unpacked(batch.column(2), np.int32)[0].astype(np.int64), at) / batch.column(3).to_numpy()
             for way in ways:
                 least = np.minimum.reduceat(tk.mixed(tokens + salt(way + 1)), at[:-1]) if len(ids) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), way, np.int32)), pa.array(least.view(np.int64))], names=["class", "way", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), way, np.int32)), pa.array(least.view(np.int64)), pa.array(held)], names=["class", "way", "least", "held"])
 
-    return sets.select("class", "tokens").mapInArrow(f, "class long, way int, least long")
+    return sets.select("class", "tokens", "df", "n").mapInArrow(f, "class long, way int, least long, held double")
 
 
 def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
@@ -366,21 +368,19 @@ def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
 
 
 def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) -> DataFrame:
-    """(way, a, na, b, nb): pairs a < b of different groups that share a listed token and pass the size and position
-    filters, once for each such token; partners b and their sizes nb are packed, a row for each a and part."""
+    """(dest, way, a, b, na, nb): pairs a < b of different groups that share a listed token and pass the size and position
+    filters, once for each such token, with their sizes, packed by the part of a."""
 
     def packed_pairs(left: np.ndarray, right: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         swap = ids[left] > ids[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
-        order = np.argsort(ids[left], kind="stable")
+        dest = (ids[left] % parts).astype(np.int32)
+        order = np.argsort(dest, kind="stable")
         left, right = left[order], right[order]
-        one = ids[left]
-        first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+        to, first = np.unique(dest[order], return_index=True)
         at = np.append(first, len(left))
-        head = left[first]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(head), way, np.int32)), pa.array(ids[head]), pa.array(n[head].astype(np.int32)), tk.binary(ids[right], at), tk.binary(n[right].astype(np.int32), at)], names=["way", "a", "na", "b", "nb"]
-        )
+        columns = [tk.binary(v, at) for v in (ids[left], ids[right], n[left].astype(np.int32), n[right].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(to), way, np.int32)), *columns], names=["dest", "way", "a", "b", "na", "nb"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in batch.columns] for batch in batches]
@@ -411,7 +411,7 @@ def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) ->
         if size:
             yield packed_pairs(*map(np.concatenate, zip(*held, strict=True)), ids, n)
 
-    return lists.select("slot", "side", "class", "n", "at", "group").repartition(parts, "slot").mapInArrow(f, "way int, a long, na int, b binary, nb binary")
+    return lists.select("slot", "side", "class", "n", "at", "group").repartition(parts, "slot").mapInArrow(f, "dest int, way int, a binary, b binary, na binary, nb binary")
 
 
 def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> DataFrame:
@@ -420,13 +420,10 @@ def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> Dat
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            b, at = tk.unpacked(batch.column(3), np.int64)
-            k = np.diff(at)
-            nb = tk.unpacked(batch.column(4), np.int32)[0].astype(np.int64)
-            na = np.repeat(batch.column(2).to_numpy(), k)
+            (a, at), b = tk.unpacked(batch.column(2), np.int64), tk.unpacked(batch.column(3), np.int64)[0]
+            na, nb = (tk.unpacked(batch.column(k), np.int32)[0].astype(np.int64) for k in (4, 5))
             need = overlap_of(na + nb, num, num + den)
-            least = np.minimum(common(need), need)
-            for c, v in zip(cols, (np.repeat(batch.column(1).to_numpy(), k), b, np.repeat(batch.column(0).to_numpy(), k), least), strict=True):
+            for c, v in zip(cols, (a, b, np.repeat(batch.column(1).to_numpy(), np.diff(at)), np.minimum(common(need), need)), strict=True):
                 c.append(v)
         if not cols[0]:
             return
@@ -441,7 +438,7 @@ def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> Dat
         all_ways = last[np.diff(np.concatenate([[-1], last])) == orders]
         yield pa.RecordBatch.from_arrays([pa.array(a[all_ways]), pa.array(b[all_ways])], names=["a", "b"])
 
-    return given.repartition(parts, "a").mapInArrow(f, "a long, b long")
+    return given.repartitionById(parts, "dest").mapInArrow(f, "a long, b long")
 
 
 def blocks(count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -489,7 +486,7 @@ def links(docs: DataFrame, rows: DataFrame, *, text: str = "text", width: int =
     grouped = lambda df: df.withColumn("group", F.col("class"))
     for turn in range(TURNS if size else 0):
         seen = Stage(grouped(pivots(sets.df, range(turn * PIVOTS, (turn + 1) * PIVOTS))))
-        first = seen.df.groupBy("way", "least").agg(F.min(F.struct("class", "group")).alias("p"))
+        first = seen.df.groupBy("way", "least").agg(F.max(F.struct("held", "class", "group")).alias("p"))
         apart = seen.df.join(first, ["way", "least"]).where(F.col("group") != F.col("p.group"))
         new = linked(apart.select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct(), sets.df, num, den)
         more = Stage(found.df.unionByName(new))
