@@ -32,8 +32,9 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
-CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How a stage is written. Shuffle files go when its query ends, not when the driver happens to collect its garbage; Python workers get few
+#: rows at once, as texts and packed sets are long (both sides hold a batch several times).
+WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 class Stage:
@@ -43,12 +44,15 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/cairn/{uuid.uuid4().hex}"
         self.schema = df.schema
-        before = self.spark.conf.get(CLEANED, "false")
-        self.spark.conf.set(CLEANED, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in WRITTEN}
         try:
+            for k, v in WRITTEN.items():
+                conf.set(k, v)
             df.write.parquet(self.path)
         finally:
-            self.spark.conf.set(CLEANED, before)
+            for k, v in before.items():
+                conf.set(k, v)
 
     @property
     def df(self) -> DataFrame:
