@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.shared import Stage, shuffle_parts
+from cairn.llm.shared import Stage, shuffle_parts, small_batches
 
 DISCOUNT = 0.75
 #: Weight of the empty context beside a context's own followers: MASS * count ** GROWTH tokens, where a context with
@@ -222,8 +222,8 @@ def word_counts(docs: DataFrame, text: str, train: str, buckets: int, parts: int
             yield deal([(names, np.bincount(back, counts, len(names)).astype(np.int64), Lists.take(data, begin[one], (begin + size)[one]), size[one])])
 
     schema = "bucket int, hashes binary, counts binary, words binary, sizes binary"
-    dealt = docs.where(F.col(train)).select(text).mapInArrow(count, schema)
-    return dealt.repartition(parts, "bucket").mapInArrow(total, schema)
+    dealt = docs.where(F.col(train)).select(text).mapInArrow(tk.frugal(count), schema)
+    return dealt.repartition(parts, "bucket").mapInArrow(tk.frugal(total), schema)
 
 
 def byte_grams(words: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def byte_grams(words: DataFrame) -> DataFrame:
             for part in made:
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["gram", "n"])
 
-    return words.select("words", "sizes").mapInArrow(f, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.select("words", "sizes").mapInArrow(tk.frugal(f), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def steps_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def traversed(docs: DataFrame, buckets: int, speller, schema: str) -> DataFrame:
         if held:
             yield from dealt(chunk, held, ids, kind)
 
-    return docs.select("doc_id", "text", "train").mapInArrow(f, schema)
+    return docs.select("doc_id", "text", "train").mapInArrow(tk.frugal(f), schema)
 
 
 def masses(c, least: float, mass: float, growth: float):
@@ -411,7 +411,7 @@ def weighed(packets: DataFrame, tokens: int, kinds: int, prior: tuple[float, flo
             columns = {"texts": tk.binary(which, bound), "model": tk.binary(sums[0], bound), "base": tk.binary(sums[1], bound), "known": tk.binary(sums[2].astype(np.int32), bound)}
             yield packet(chunk, np.array([0]), columns, None, kind)
 
-    return packets.mapInArrow(f, schema)
+    return packets.mapInArrow(tk.frugal(f), schema)
 
 
 def logs(c: np.ndarray, spelt: np.ndarray, end: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
@@ -423,6 +423,7 @@ def logs(c: np.ndarray, spelt: np.ndarray, end: np.ndarray, tokens: int, kinds:
 
 def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, for every row."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
@@ -435,7 +436,7 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(tk.sums(c, at)), pa.array(np.diff(at)), pa.array(tk.sums(np.where(names == END, c, 0), at))], names=["n", "v", "ends"])
 
     zero = F.lit(0)
-    total = counts.df.select("counts", "hashes").mapInArrow(sums, "n long, v long, ends long").agg(*(F.coalesce(F.sum(c), zero) for c in ("n", "v", "ends"))).first()
+    total = counts.df.select("counts", "hashes").mapInArrow(tk.frugal(sums), "n long, v long, ends long").agg(*(F.coalesce(F.sum(c), zero) for c in ("n", "v", "ends"))).first()
     tokens, kinds, ends = map(int, total)
     grams = byte_grams(counts.df).toPandas()  # less than 2^24 + 2^17 rows
     speller = spark.sparkContext.broadcast(Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)))
@@ -449,7 +450,7 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(c[some])], names=["x", "c"])
 
     prior = (max(tokens / HOT, 1.0), MASS, GROWTH)
-    listed = counts.df.select("hashes", "counts").mapInArrow(often, "x long, c long").toPandas()
+    listed = counts.df.select("hashes", "counts").mapInArrow(tk.frugal(often), "x long, c long").toPandas()
     names = np.append(listed["x"].to_numpy(np.int64).view(np.uint64), BEGIN) & np.uint64(0xFFFFFFFFFFFF)
     weights = masses(np.append(listed["c"].to_numpy(np.int64), ends), *prior)
     order = np.argsort(names)
@@ -486,5 +487,5 @@ def scores(docs: DataFrame, *, train: str = "train", doc_id: str = "doc_id", tex
             yield out()
 
     together = summed.repartition(buckets, "chunk").sortWithinPartitions("chunk", F.col("ids").isNull())
-    rows = together.mapInArrow(gathered, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rows = together.mapInArrow(tk.frugal(gathered), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import textkit as tk
+from cairn.llm.shared import small_batches
+
 SEED, FINDINGS, TREES, DEPTH, LEAF = 5, 4000, 30, 9, 4
 ACCEPT = 0.5
 MASK = "[SECRET]"
@@ -192,6 +195,7 @@ def judged(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
 
 def scan(docs: DataFrame, forest: Forest, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each candidate: the `keep` columns, start, end, kind, value_sha256, probability, secret."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
@@ -209,12 +213,13 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", keep: tuple[str
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(kind), pa.array(values, pa.string()), pa.array(p, pa.float64())], names=[*keep, "start", "end", "kind", "value", "probability"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in narrow.schema if x.name != "__text")
-    out = narrow.mapInArrow(f, f"{fields}, start int, end int, kind string, value string, probability double")
+    out = narrow.mapInArrow(tk.frugal(f), f"{fields}, start int, end int, kind string, value string, probability double")
     return out.withColumn("value_sha256", F.sha2("value", 256)).withColumn("secret", F.col("probability") >= ACCEPT).drop("value")
 
 
 def redacted(docs: DataFrame, forest: Forest, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """`docs` with confirmed secrets masked in `text`; `n_chars`, where there is one, follows changed texts."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +243,4 @@ def redacted(docs: DataFrame, forest: Forest, text: str = "text", n_chars: str =
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(f, docs.schema)
+    return docs.mapInArrow(tk.frugal(f), docs.schema)

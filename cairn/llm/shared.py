@@ -32,9 +32,17 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: How a stage is written. Shuffle files go when its query ends, not when the driver happens to collect its garbage; Python workers get few
-#: rows at once, as texts and packed sets are long (both sides hold a batch several times).
-WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Shuffle files go when a stage's query ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Python workers get at once: texts and packed sets are long, and both sides hold a batch several times.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of this session get at most 1000 rows at once."""
+    key, most = ARROW_ROWS
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
 
 
 class Stage:
@@ -44,15 +52,13 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/cairn/{uuid.uuid4().hex}"
         self.schema = df.schema
-        conf = self.spark.conf
-        before = {k: conf.get(k) for k in WRITTEN}
+        small_batches(self.spark)
+        before = self.spark.conf.get(CLEANED)
+        self.spark.conf.set(CLEANED, "true")
         try:
-            for k, v in WRITTEN.items():
-                conf.set(k, v)
             df.write.parquet(self.path)
         finally:
-            for k, v in before.items():
-                conf.set(k, v)
+            self.spark.conf.set(CLEANED, before)
 
     @property
     def df(self) -> DataFrame:

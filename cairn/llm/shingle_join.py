@@ -82,7 +82,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), pa.array(n, pa.int64()), named], names=["doc_id", "n_shingles", "class"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(f, f"doc_id {kind}, n_shingles long, class long")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(tk.frugal(f), f"doc_id {kind}, n_shingles long, class long")
 
 
 def prefix_of(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def sent(docs: DataFrame, text: str, width: int, buckets: int, num: int, den: in
         if held:
             yield deal(parts)
 
-    return docs.select(F.col(text)).mapInArrow(f, "bucket int, tokens binary, prints binary")
+    return docs.select(F.col(text)).mapInArrow(tk.frugal(f), "bucket int, tokens binary, prints binary")
 
 
 def met(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -162,8 +162,8 @@ def met(dealt: DataFrame, buckets: int) -> DataFrame:
             names, back = np.unique(names, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.bincount(back, hits, len(names)).astype(np.int64))], names=["print", "hits"])
 
-    found = dealt.repartitionById(buckets, "bucket").mapInArrow(f, "dest int, prints binary, hits binary")
-    return found.repartitionById(buckets, "dest").mapInArrow(total, "print long, hits long")
+    found = dealt.repartitionById(buckets, "bucket").mapInArrow(tk.frugal(f), "dest int, prints binary, hits binary")
+    return found.repartitionById(buckets, "dest").mapInArrow(tk.frugal(total), "print long, hits long")
 
 
 def sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -178,7 +178,7 @@ def sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
                     at = np.append(at[some], at[-1])
                     yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, at)), pa.array(n[some].astype(np.int32)), tk.binary(values, at)], names=["class", "n", "tokens"])
 
-    return docs.select(F.col(text)).mapInArrow(f, "class long, n int, tokens binary")
+    return docs.select(F.col(text)).mapInArrow(tk.frugal(f), "class long, n int, tokens binary")
 
 
 def plausible(docs: DataFrame, rows: DataFrame, text: str, width: int, parts: int, num: int, den: int) -> Stage:
@@ -233,7 +233,7 @@ def dealt_again(sets: DataFrame, buckets: int) -> DataFrame:
                     groups = part.column(3).to_numpy() if part.column(3).null_count == 0 else None
                     yield packets(part.column(0).to_numpy(), part.column(1).to_numpy(), groups, tokens, owner, buckets)
 
-    return sets.select("class", "n", "tokens", "group").mapInArrow(f, DEALT_AS)
+    return sets.select("class", "n", "tokens", "group").mapInArrow(tk.frugal(f), DEALT_AS)
 
 
 def by_class(owner: np.ndarray, n: np.ndarray, token: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -293,7 +293,7 @@ def shared_tokens(dealt_out: DataFrame, parts: int) -> DataFrame:
             [pa.array(to, pa.int32()), *(tk.binary(x, rows) for x in (names, sizes, k.astype(np.int32))), tk.binary(token, cells), tk.binary(df, cells)], names=["dest", "classes", "sizes", "counts", "tokens", "df"]
         )
 
-    return dealt_out.repartitionById(parts, "bucket").mapInArrow(f, "dest int, classes binary, sizes binary, counts binary, tokens binary, df binary")
+    return dealt_out.repartitionById(parts, "bucket").mapInArrow(tk.frugal(f), "dest int, classes binary, sizes binary, counts binary, tokens binary, df binary")
 
 
 def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
@@ -317,7 +317,7 @@ def likely(shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             take = np.repeat(at[rows], k) + np.arange(cells[-1]) - np.repeat(cells[:-1], k)
             yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(n[rows]), tk.binary(token[take], cells), tk.binary(df[take], cells)], names=["class", "n", "tokens", "df"])
 
-    return shared.repartitionById(parts, "dest").mapInArrow(f, "class long, n int, tokens binary, df binary")
+    return shared.repartitionById(parts, "dest").mapInArrow(tk.frugal(f), "class long, n int, tokens binary, df binary")
 
 
 def pivots(sets: DataFrame, ways: range) -> DataFrame:
@@ -332,7 +332,7 @@ def pivots(sets: DataFrame, ways: range) -> DataFrame:
                 least = np.minimum.reduceat(tk.mixed(tokens + salt(way + 1)), at[:-1]) if len(ids) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), way, np.int32)), pa.array(least.view(np.int64)), pa.array(held)], names=["class", "way", "least", "held"])
 
-    return sets.select("class", "tokens", "df", "n").mapInArrow(f, "class long, way int, least long, held double")
+    return sets.select("class", "tokens", "df", "n").mapInArrow(tk.frugal(f), "class long, way int, least long, held double")
 
 
 def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
@@ -364,7 +364,7 @@ def prefixes(sets: DataFrame, way: int, num: int, den: int) -> DataFrame:
                 [pa.array(slot.view(np.int64)), pa.array(side), pa.array(ids[row[picked]]), pa.array(n[row[picked]].astype(np.int32)), pa.array(place.astype(np.int32))], names=["slot", "side", "class", "n", "at"]
             )
 
-    return sets.mapInArrow(f, "slot long, side byte, class long, n int, at int")
+    return sets.mapInArrow(tk.frugal(f), "slot long, side byte, class long, n int, at int")
 
 
 def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) -> DataFrame:
@@ -411,7 +411,7 @@ def pairs_across(lists: DataFrame, way: int, parts: int, num: int, den: int) ->
         if size:
             yield packed_pairs(*map(np.concatenate, zip(*held, strict=True)), ids, n)
 
-    return lists.select("slot", "side", "class", "n", "at", "group").repartition(parts, "slot").mapInArrow(f, "dest int, way int, a binary, b binary, na binary, nb binary")
+    return lists.select("slot", "side", "class", "n", "at", "group").repartition(parts, "slot").mapInArrow(tk.frugal(f), "dest int, way int, a binary, b binary, na binary, nb binary")
 
 
 def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> DataFrame:
@@ -438,7 +438,7 @@ def agreed(given: DataFrame, orders: int, parts: int, num: int, den: int) -> Dat
         all_ways = last[np.diff(np.concatenate([[-1], last])) == orders]
         yield pa.RecordBatch.from_arrays([pa.array(a[all_ways]), pa.array(b[all_ways])], names=["a", "b"])
 
-    return given.repartitionById(parts, "dest").mapInArrow(f, "a long, b long")
+    return given.repartitionById(parts, "dest").mapInArrow(tk.frugal(f), "a long, b long")
 
 
 def blocks(count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -466,7 +466,7 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     two = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     near = lambda x, y: F.col(x) * num <= F.col(y) * den
     both = pairs.join(one, "a").join(two, "b").where(near("na", "nb") & near("nb", "na"))
-    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(f, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tk.frugal(f), "a long, b long")
 
 
 def weeded(sets: Stage, group, parts: int, num: int, den: int) -> tuple[Stage, int, int]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,27 @@ IN_WORD[[32, *range(9, 14)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f` as a task whose worker gives memory back when it ends: workers live on between tasks, and with them what they hold."""
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return g
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads each bit over all."""
     x = x ^ (x >> np.uint64(30))

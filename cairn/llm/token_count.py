@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import textkit as tk
+from cairn.llm.shared import small_batches
+
 SPACE = "▁"
 #: Cuts up to this length are remembered; a worker forgets all of them at CACHE_CUTS.
 CACHE_CHARS, CACHE_CUTS = 40, 1_000_000
@@ -89,6 +92,7 @@ def counter(model_file: str) -> PieceCounter:
 
 def token_counts(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns with n_bytes and n_tokens of `text`."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,4 +103,4 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text")
     sized = narrow.withColumn("__n", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"))
-    return sized.mapInArrow(count, f"n_bytes long, {fields}, n_tokens long").select(*keep, "n_bytes", "n_tokens")
+    return sized.mapInArrow(tk.frugal(count), f"n_bytes long, {fields}, n_tokens long").select(*keep, "n_bytes", "n_tokens")
