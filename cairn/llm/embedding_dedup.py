@@ -3,10 +3,11 @@
 Vectors that are equal after scaling to unit length, with the same label, are collapsed first and
 keep their count. Each remaining vector gets `tables` codes of `bits` hyperplane signs; vectors with the same
 label and code of a table meet. Cosines in double precision decide; a pair that met in an earlier table
-is left to that table, so that links are counted once. Buckets give counts for each vector
-and a spanning set of links, never the pairs; a bucket over BUCKET rows is compared in blocks by several tasks.
+is left to that table, so that links are counted once (the codes of a pair that reaches the threshold are worked out again where it meets).
+Buckets give counts for each vector and a spanning set of links, never the pairs; a bucket over BUCKET rows is compared in blocks by several tasks.
 
-`bits` grows with the logarithm of the row count, so that buckets stay small; `tables` follows
+Only the given components travel, in their own precision, once a table. Buckets hold some WANTED rows, as their products are one
+multiplication of matrices: the more rows a bucket has, the fewer tables are needed. `bits` grows with the logarithm of the row count; `tables` follows
 from it, for the asked recall of a pair that lies just at the threshold. Codes come from
 seeded hyperplanes, so that results repeat.
 
@@ -17,6 +18,7 @@ a null id never names a component. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,19 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
+from cairn.llm import textkit as tk
 from cairn.llm.shared import Stage, shuffle_parts
 
-#: Rows of a bucket that one task compares at once; larger buckets are dealt in blocks of it.
-BUCKET = 4096
-#: Rows of a block that are multiplied at once.
-STRIPE = 1024
+#: Rows that a bucket should have, and rows that one task compares at once; larger buckets are dealt in blocks of it.
+WANTED, BUCKET = 512, 4096
+#: Rows of a block that are multiplied at once, and rows that a task gets, about.
+STRIPE, TASK_ROWS = 512, 50_000
 #: Large buckets are broadcast up to this count (under 1 MB), else joined by a shuffle.
 LARGE_BUCKETS = 10_000
 
 
 def plan(rows: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits and tables: buckets of about 16 rows were codes even, and the asked chance to meet at the threshold."""
-    bits = min(60, max(6, math.ceil(math.log2(max(1, rows) / 16))))
+    """Bits and tables: buckets of about WANTED rows were codes even, and the asked chance to meet at the threshold."""
+    bits = min(60, max(4, math.ceil(math.log2(max(1, rows) / WANTED))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
@@ -47,79 +50,87 @@ def planes(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, count))
 
 
-def unit(lists: pa.Array) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
-    for v in lists:
-        x = None
-        if v.is_valid and len(v.values) and not v.values.null_count:
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            top = np.abs(x).max() if np.isfinite(x).all() else 0
-            x = x / top / np.linalg.norm(x / top) if top > 0 else None
-        out.append(x)
-    return out
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, of finite rows that aren't zero."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def unit_rows(vectors: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
-    """(vec_id, label, unit): unit is the packed unit vector, null where the row links with nothing."""
+def given(packed: list[bytes], wide: bool) -> np.ndarray:
+    """Packed components as rows of doubles; all of one length."""
+    kind = np.float64 if wide else np.float32
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype(np.float64)
+
+
+def unit_rows(vectors: DataFrame, vec_id: str, vector: str, label: str) -> tuple[DataFrame, bool]:
+    """(vec_id, label, unit, given): hash of the unit vector and the packed components, null where the row links with nothing; and whether components are doubles."""
+    wide = "double" in vectors.schema[vector].dataType.simpleString()
+    kind = np.float64 if wide else np.float32
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [None if x is None else x.tobytes() for x in unit(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary())], names=["vec_id", "label", "unit"])
+            packed, names = [], []
+            for v in batch.column(2):
+                x = None
+                if v.is_valid and len(v.values) and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind)
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                packed.append(None if x is None else x.tobytes())
+                names.append(None if x is None else hashlib.blake2b(scaled(x[None].astype(np.float64)).tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "label", "unit", "given"])
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     usable = F.when(F.col(label).isNotNull(), F.col(vector))
-    return vectors.select(F.col(vec_id), F.col(label), usable.alias("v")).mapInArrow(f, f"vec_id {kinds[vec_id]}, label {kinds[label]}, unit binary")
+    return vectors.select(F.col(vec_id), F.col(label), usable.alias("v")).mapInArrow(tk.frugal(f), f"vec_id {kinds[vec_id]}, label {kinds[label]}, unit binary, given binary"), wide
+
+
+def codes_of(x: np.ndarray, bits: int, tables: int, seed: int, made: dict[int, np.ndarray]) -> np.ndarray:
+    """The codes of unit vectors in all tables."""
+    dim = x.shape[1]
+    if dim not in made:
+        made[dim] = planes(dim, bits * tables, seed)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    return ((x @ made[dim]) > 0).reshape(len(x), tables, bits) @ weights
 
 
-def coded(points: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(point, label, copies, unit, codes, way, bucket): a row for each point and table."""
-    weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.int64)
+def coded(points: DataFrame, bits: int, tables: int, seed: int, wide: bool) -> DataFrame:
+    """(point, label, copies, given, way, code): a row for each point and table."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows, codes = [], []
-            for i, u in enumerate(batch.column(3).to_pylist()):
-                x = np.frombuffer(u)
-                if len(x) not in made:
-                    made[len(x)] = planes(len(x), bits * tables, seed)
-                rows.append(i)
-                codes.append(((x @ made[len(x)]) > 0).reshape(tables, bits) @ weights)
-            if not rows:
-                continue
-            codes = np.array(codes, dtype=np.int64)
-            for way in range(tables):
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in range(4)), pa.array([c.tobytes() for c in codes[:, : way + 1]], pa.binary()), pa.array(np.full(len(rows), way, np.int32)), pa.array(codes[:, way])],
-                    names=["point", "label", "copies", "unit", "codes", "way", "code"],
-                )
+            packed = batch.column(3).to_pylist()
+            sizes = np.array([len(p) for p in packed])
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                codes = codes_of(scaled(given([packed[i] for i in rows], wide)), bits, tables, seed, made)
+                part = batch.take(pa.array(rows))
+                for way in range(tables):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(rows), way, np.int32)), pa.array(codes[:, way])], names=["point", "label", "copies", "given", "way", "code"])
 
     kind = points.schema["label"].dataType.simpleString()
-    return points.select("point", "label", "copies", "unit").mapInArrow(f, f"point long, label {kind}, copies long, unit binary, codes binary, way int, code long")
+    return points.select("point", "label", "copies", "given").mapInArrow(tk.frugal(f), f"point long, label {kind}, copies long, given binary, way int, code long")
 
 
-def compared(x: list[np.ndarray], y: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (of x, of y) that reach the threshold and didn't meet before; y None: pairs inside x.
-
-    x and y: unit vectors, codes of this table and those before it.
-    """
+def compared(x: np.ndarray, y: np.ndarray | None, threshold: float, new) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (of x, of y) that reach the threshold and didn't meet before, as `new` says of their vectors; y None: pairs inside x."""
     inside = y is None
-    units, codes = x[0], x[1]
-    other_units, other_codes = (units, codes) if inside else (y[0], y[1])
-    for lo in range(0, len(units), STRIPE):
+    other = x if inside else y
+    for lo in range(0, len(x), STRIPE):
         start = lo if inside else 0
-        near = units[lo : lo + STRIPE] @ other_units[start:].T >= threshold - 1e-9
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(x[lo : lo + STRIPE] @ other[start:].T >= threshold - 1e-9)
         i, j = i + lo, j + start
         if inside:
             i, j = i[i < j], j[i < j]
-        for a in range(0, len(i), 1 << 16):
-            p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-            exact = np.einsum("ij,ij->i", units[p], other_units[q]) >= threshold
-            new = exact & ~(codes[p, :-1] == other_codes[q, :-1]).any(axis=1)
-            if new.any():
-                yield p[new], q[new]
+        for a in range(0, len(i), 1 << 15):
+            p, q = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+            exact = np.einsum("ij,ij->i", x[p], other[q]) >= threshold
+            p, q = p[exact], q[exact]
+            if len(p):
+                fresh = new(p, q)
+                if fresh.any():
+                    yield p[fresh], q[fresh]
 
 
 class Spanning:
@@ -151,33 +162,42 @@ class Spanning:
             p, q = p[256:], q[256:]
 
 
-def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
+def bucket_links(rows: DataFrame, threshold: float, bits: int, tables: int, seed: int, wide: bool) -> DataFrame:
     """(point, links, other): partial link counts of a point (other null), or a link that spans (links 0)."""
 
-    def work(ids, copies, units, codes, side) -> Iterator[pa.RecordBatch]:
-        counts, span = np.zeros(len(ids), dtype=np.int64), Spanning(len(ids))
-        one = side == 0
-        x = np.flatnonzero(one)
-        y = np.flatnonzero(~one)
-        whole = not len(y)
-        for p, q in compared([units[x], codes[x]], None if whole else [units[y], codes[y]], threshold):
-            p, q = x[p], (x if whole else y)[q]
-            np.add.at(counts, p, copies[q])
-            np.add.at(counts, q, copies[p])
-            span.add(p, q)
-        hit = np.flatnonzero(counts)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(counts[hit]), pa.nulls(len(hit), pa.int64())], names=["point", "links", "other"])
-            a, b = np.array(span.links).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(np.zeros(len(a), np.int64)), pa.array(ids[b])], names=["point", "links", "other"])
-
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         key, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                ids, copies, units, codes, side = zip(*held, strict=True)
-                yield from work(np.array(ids), np.array(copies), np.stack([np.frombuffer(u) for u in units]), np.stack([np.frombuffer(c, dtype=np.int64) for c in codes]), np.array(side))
+            if len(held) < 2:
+                return
+            ids, copies, packed, side, way = zip(*held, strict=True)
+            ids, copies, one, way = np.array(ids), np.array(copies), np.array(side) == 0, way[0]
+            units = scaled(given(list(packed), wide))
+            x, y = np.flatnonzero(one), np.flatnonzero(~one)
+            whole = not len(y)
+            known: dict[str, np.ndarray] = {}
+
+            def new(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+                if not way:
+                    return np.ones(len(p), dtype=bool)
+                if not known:  # codes are worked out only in buckets that hold a link
+                    known["codes"] = codes_of(units, bits, tables, seed, made)[:, :way]
+                c = known["codes"]
+                return ~(c[x[p]] == c[(x if whole else y)[q]]).any(axis=1)
+
+            counts, span = np.zeros(len(ids), dtype=np.int64), Spanning(len(ids))
+            for p, q in compared(units[x], None if whole else units[y], threshold, new):
+                p, q = x[p], (x if whole else y)[q]
+                np.add.at(counts, p, copies[q])
+                np.add.at(counts, q, copies[p])
+                span.add(p, q)
+            hit = np.flatnonzero(counts)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(counts[hit]), pa.nulls(len(hit), pa.int64())], names=["point", "links", "other"])
+                a, b = np.array(span.links).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(np.zeros(len(a), np.int64)), pa.array(ids[b])], names=["point", "links", "other"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(6)]
@@ -188,13 +208,13 @@ def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
                 held.append(row)
         yield from flush()
 
-    return rows.select("task", "point", "copies", "unit", "codes", "side").mapInArrow(f, "point long, links long, other long")
+    return rows.select("task", "point", "copies", "given", "side", "way").mapInArrow(tk.frugal(f), "point long, links long, other long")
 
 
 def dealt(rows: DataFrame, parts: int) -> DataFrame:
     """Adds task and side: a bucket is one task, a large one a task for each pair of its blocks."""
     key = ["way", "label", "code", "dim"]
-    rows = rows.withColumn("dim", F.length("unit"))
+    rows = rows.withColumn("dim", F.length("given"))
     large = Stage(rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)).df
     if large.count() <= LARGE_BUCKETS:
         large = F.broadcast(large)
@@ -203,7 +223,7 @@ def dealt(rows: DataFrame, parts: int) -> DataFrame:
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
     rows = rows.withColumn("pair", F.explode(every)).withColumn("side", F.when(F.col("block") == F.col("pair.lo"), 0).otherwise(1))
     rows = rows.withColumn("task", F.concat_ws("/", *(F.col(k).cast("string") for k in key), F.col("pair.lo"), F.col("pair.hi")))
-    return rows.select("task", "point", "copies", "unit", "codes", "side").repartition(parts, "task").sortWithinPartitions("task")
+    return rows.select("task", "point", "copies", "given", "side", "way").repartition(parts, "task").sortWithinPartitions("task")
 
 
 def near_duplicates(
@@ -211,10 +231,13 @@ def near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     parts = shuffle_parts(vectors.sparkSession)
-    rows = Stage(unit_rows(vectors, vec_id, vector, label).withColumn("point", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))))
-    points = Stage(rows.df.where("point is not null").groupBy("point").agg(F.count("*").alias("copies"), F.min("label").alias("label"), F.min("unit").alias("unit")))
-    bits, tables = plan(points.df.count(), threshold, recall)
-    found = Stage(bucket_links(dealt(coded(points.df, bits, tables, seed), parts), threshold))
+    found, wide = unit_rows(vectors, vec_id, vector, label)
+    rows = Stage(found.withColumn("point", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))).drop("unit"))
+    points = Stage(rows.df.where("point is not null").groupBy("point").agg(F.count("*").alias("copies"), F.min("label").alias("label"), F.min("given").alias("given")))
+    size = points.df.count()
+    bits, tables = plan(size, threshold, recall)
+    parts = max(parts, -(-size * tables // TASK_ROWS))
+    found = Stage(bucket_links(dealt(coded(points.df, bits, tables, seed, wide), parts), threshold, bits, tables, seed, wide))
     counts = found.df.where("other is null").groupBy("point").agg(F.sum("links").alias("links"))
     edges = found.df.where("other is not null").select("point", "other")
     labels = components(edges).select(F.col("node").alias("point"), F.col("label").alias("group"))
