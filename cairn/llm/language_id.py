@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.shared import Stage, without
+from cairn.llm.shared import Stage, small_batches, without
 
 SLOTS = 1 << 16
 TEMPERATURE = 4.0
@@ -35,8 +35,6 @@ ACCEPT, LEAST_TRIGRAMS = 0.5, 3
 STRENGTH = 10.0
 #: Bound of the training sample: rows of a language and characters of a row.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
-#: Parts in which a language's sample is first sought.
-SAMPLE_PARTS = 64
 #: Lower-cases A-Z, and turns what is neither a letter nor beyond ASCII into a space.
 FOLD = tk.LOWER.copy()
 FOLD[[b for b in range(128) if not chr(FOLD[b]).isalpha()]] = 32
@@ -74,23 +72,39 @@ class TextModel:
         return out - out.mean(axis=1, keepdims=True) if len(self.languages) else out, seen
 
 
+def sampled(usable: DataFrame) -> dict[str, list[int]]:
+    """The SAMPLE least hashes of each language of (lang, h). Hashes are even, so those under a bound that should hold a few more are collected; the
+    bound is raised for languages whose texts repeat."""
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    share = {name: min(1.0, 2 * SAMPLE / n) for name, n in sizes.items()}
+    found: dict[str, list[int]] = {}
+    while share:
+        bounds = [(name, int(-(2**63) + min(s * 2**64, 2**64 - 1))) for name, s in share.items()]
+        under = usable.join(F.broadcast(usable.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where(F.col("h") <= F.col("bound"))
+        held: dict[str, list[int]] = {name: [] for name in share}
+        for r in under.select("lang", "h").distinct().collect():  # about 2 SAMPLE a language
+            held[r.lang].append(r.h)
+        for name, hashes in held.items():
+            if len(hashes) >= SAMPLE or share[name] >= 1:
+                found[name] = sorted(hashes)[:SAMPLE]
+                del share[name]
+            else:
+                share[name] = min(1.0, 4 * share[name])
+    return found
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
     """From a bounded sample of texts for each label, in the order of a hash; null labels and texts aren't used."""
     usable = labelled.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = usable.withColumn("h", F.xxhash64("text"))
-    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-    # the least hashes of each part of a language hold those of the whole; so no task sorts all of one language
-    parted = usable.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SAMPLE_PARTS)))
-    picked = parted.withColumn("i", first("lang", "part")).where(F.col("i") <= SAMPLE)
-    picked = picked.withColumn("i", first("lang")).where(F.col("i") <= SAMPLE)
-    last = {r.lang: r.h for r in picked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    languages = sorted(last)
-    taken = F.lit(False)
-    for name in languages:
-        taken = taken | ((F.col("lang") == name) & (F.col("h") <= last[name]))
+    picked = sampled(usable)
+    languages = sorted(picked)
+    last = [(name, max(hashes)) for name, hashes in picked.items()]
     texts: dict[str, list[str]] = {name: [] for name in languages}
-    for r in usable.where(taken).dropDuplicates(["lang", "h"]).collect():  # at most SAMPLE for each language
-        texts[r.lang].append(r.text)
+    if last:
+        taken = usable.join(F.broadcast(usable.sparkSession.createDataFrame(last, "lang string, last long")), "lang").where(F.col("h") <= F.col("last"))
+        for r in taken.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():  # at most SAMPLE for each language
+            texts[r.lang].append(r.text)
     table = np.zeros((SLOTS, len(languages)))
     for i, name in enumerate(languages):
         slot, _ = trigrams(*tk.chars(pa.array(texts[name], pa.string())))
@@ -118,6 +132,7 @@ def host_of(url: Column) -> Column:
 
 def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Column | None = None, host: Column | None = None, keep: tuple[str, ...]) -> DataFrame:
     """The `keep` columns, lang (`und` if rejected), confidence, declared, host and the text's own best language."""
+    small_batches(rows.sparkSession)
     absent = F.lit(None).cast("string")
     narrow = rows.select(*keep, text.alias("__text"), (absent if declared is None else declared).alias("__declared"), (absent if host is None else host).alias("__host"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -136,7 +151,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *lists, pa.array(seen)], names=[*carried, "__log", "__soft", "__seen"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in narrow.schema if x.name != "__text")
-    judged = narrow.mapInArrow(f, f"{fields}, __log array<double>, __soft array<double>, __seen long")
+    judged = narrow.mapInArrow(tk.frugal(f), f"{fields}, __log array<double>, __soft array<double>, __seen long")
     if not size:
         return judged.select(*keep, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.col("__declared").alias("declared"), F.col("__host").alias("host"), absent.alias("text_lang"))
     labels = F.split("__host", r"\.")
