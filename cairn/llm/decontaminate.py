@@ -7,9 +7,9 @@ is then extended to the spans around it, compared by the two or more grams that
 them (twice 64 bits and more), so that only spans that agree in all words stay.
 
 An item of fewer than `span` words, but not none, is one span of its own length; its
-grams of that length are compared as a whole.
+grams of that length are compared as a whole, by one hash of 64 bits and the length.
 
-Documents: a row for each distinct (id, text); null texts have no words; a null id is an
+Documents: a row for each row, repeated ones too; null texts have no words; a null id is an
 id like any other. Items: rows with the same id are one item, a null id is the id ''.
 With no items every document comes back clean. Other columns are ignored.
 """
@@ -80,7 +80,7 @@ def benchmark_spans(items: DataFrame, k: int, span: int, text: str, item_id: str
 def hits(
     docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_words, spans (array of s, len, sorted), items (sorted ids)."""
+    """One row for each row: doc_id, text_hash, n_words, spans (array of s, len, sorted), items (sorted ids)."""
     if not 2 * k >= span > k:
         raise ValueError("two grams must cover a span: k < span <= 2 k")
     spans = cut(benchmark_spans(items, k, span, item_text, item_id))
@@ -129,6 +129,7 @@ def hits(
     agreed = around.join(bounded(keys), ["a", "b", "len"], "left").where(F.col("span_id").isNotNull() | (F.col("s") < 0))
     per_doc = agreed.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"),
+        F.sum((F.col("s") < 0).cast("int")).cast("int").alias("rows"),  # of the same id and text
         F.sort_array(F.collect_set(F.when(F.col("s") >= 0, F.struct("s", "len")))).alias("spans"),
         F.collect_set("span_id").alias("ids"),
     )
@@ -141,6 +142,7 @@ def hits(
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
     joined = per_doc.join(owned, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left")
+    joined = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return joined.select("doc_id", "text_hash", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
