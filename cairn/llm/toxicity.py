@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
+from cairn.llm.shared import small_batches
 
-LETTERS = 64
+#: Letters are told apart by so many codes: a to z have one each, others go by a hash.
+LETTERS = 128
 DECAY, SPAN, POWER = 0.6, 7, 3
 WINDOW, STRIDE = 16, 8
 LANDMARKS, ROUNDS, COST = 96, 4, 10.0
@@ -56,13 +58,17 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def letter_codes(unit: str) -> np.ndarray:
     at = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return np.where((at >= 97) & (at <= 122), at - 96, 27 + at % 37)
+    return np.where((at >= 97) & (at <= 122), at - 96, 27 + ((at * 2654435761) >> 9) % (LETTERS - 27))
+
+
+#: Words, as scoring cuts them too, and letters written more than twice, which count as two.
+WORD, STRETCHED = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"(.)\1{2,}", re.S)
 
 
 def units_of(word: str) -> list[str]:
     """A word's letters, or the windows of a long word."""
     letters = word if word.isalpha() else "".join(filter(str.isalpha, word))
-    letters = letters.lower()
+    letters = STRETCHED.sub(r"\1\1", letters.lower())
     if len(letters) <= WINDOW + STRIDE // 2:
         return [letters]
     return [letters[i : i + WINDOW] for i in range(0, len(letters) - STRIDE, STRIDE)]
@@ -145,7 +151,7 @@ def spelled(text: str) -> list[str]:
 
 
 def text_units(text: str) -> set[str]:
-    return {u for w in set(text.split()) for u in units_of(w) if len(u) >= 3} | set(spelled(text))
+    return {u for w in set(WORD.findall(text)) for u in units_of(w) if len(u) >= 3} | set(spelled(text))
 
 
 def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20) -> np.ndarray:
@@ -288,6 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns with score: the toxicity of each whole text."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -333,4 +340,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(best), pa.float64())], names=[*keep, "score"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in narrow.schema if x.name != "__text")
-    return narrow.mapInArrow(f, f"{fields}, score double")
+    return narrow.mapInArrow(tk.frugal(f), f"{fields}, score double")
