@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.vectors import collected, nearest
+from cairn.operators.vectors import inner, scored_top
 
-#: Queries that go to all executors at once; more are searched in blocks of it.
-QUERY_BLOCK = 2048
-MAX_QUERIES = 1_000_000
+#: Candidates (of all queries) that are broadcast to the vectors when they are scored again; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 500_000
 
 
 def ranked(found: DataFrame, k: int, by: str = "query_id", id_: str = "vec_id") -> DataFrame:
@@ -21,33 +18,43 @@ def ranked(found: DataFrame, k: int, by: str = "query_id", id_: str = "vec_id")
 
 
 def exact(base: DataFrame, queries: DataFrame, k: int, *, vector: str = "e", metric: str = "ip") -> DataFrame:
-    """(query_id, vec_id, score, rank): every query against all rows, blocks of queries after each other.
+    """(query_id, vec_id, score, rank): every query against all rows, in blocks of queries.
 
     Each task keeps k rows a query, so that what is shuffled grows with queries and tasks, not with rows.
     """
-    keys, points = collected(queries, "query_id", vector, MAX_QUERIES)
-    if not keys:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    parts = [nearest(base, keys[i : i + QUERY_BLOCK], points[i : i + QUERY_BLOCK], k, metric=metric, key="query_id", vector=vector) for i in range(0, len(keys), QUERY_BLOCK)]
-    return ranked(reduce(DataFrame.unionByName, parts), k).select("query_id", "vec_id", "score", "rank")
+    return ranked(scored_top(base, queries, k, metric=metric, vector=vector), k).select("query_id", "vec_id", "score", "rank")
 
 
 def merged(candidates: DataFrame, k: int) -> DataFrame:
     """Merges answers of shards (query_id, shard, vec_id, score): the first of a vector by score and shard stays, then the k best."""
-    first = Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score"), "shard")
-    once = candidates.withColumn("i", F.row_number().over(first)).where("i = 1").drop("i")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "shard", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return deduped(candidates).where("survived").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
-def subset_search(members: DataFrame, routes: DataFrame, scored, k: int) -> DataFrame:
-    """Exact search over the distinct members of each query's regions; `scored` gives the score column of a joined row."""
-    pairs = routes.select("query_id", "region", "q").join(members, "region").dropDuplicates(["query_id", "vec_id"])
-    return ranked(pairs.withColumn("score", F.round(scored, 9)), k).select("query_id", "vec_id", "score", "rank")
+def deduped(candidates: DataFrame) -> DataFrame:
+    """Adds survived: the first of a query's vector by score, then shard."""
+    first = Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score"), "shard")
+    return candidates.withColumn("survived", F.row_number().over(first) == 1)
 
 
-def reranked(retrieved: DataFrame, exact_scores: DataFrame, k: int) -> DataFrame:
-    """Rescored exactly, stable on the old rank; absent rows stay absent."""
-    both = retrieved.select("query_id", "vec_id", F.col("rank").alias("before")).join(exact_scores, ["query_id", "vec_id"])
+def shard_answers(placed: DataFrame, queries: DataFrame, depth: int, *, shard: str, routes: DataFrame | None = None) -> DataFrame:
+    """(query_id, shard, vec_id, score): the `depth` best rows of each asked shard. `routes` (query_id, region): the shards a query asks, else all.
+
+    Vectors carry their shard, so nothing but answers is shuffled. Routes are those of a stated query set.
+    """
+    asked = None
+    if routes is not None:
+        asked = {r.region: r.q for r in routes.groupBy("region").agg(F.collect_list("query_id").alias("q")).collect()}
+    found = scored_top(placed, queries, depth, group=shard, routes=asked)
+    of = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("i", F.row_number().over(of)).where(F.col("i") <= depth).select("query_id", F.col("group").alias("shard"), "vec_id", "score")
+
+
+def rescored(retrieved: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Candidates (query_id, vec_id, rank) scored by their vectors again, stable on the old rank; what wasn't retrieved stays absent."""
+    wanted = retrieved.select("query_id", "vec_id", F.col("rank").alias("before")).join(F.broadcast(queries.select("query_id", F.col("e").alias("q"))), "query_id")
+    few = wanted.count() <= BROADCAST_CANDIDATES
+    both = base.select("vec_id", "e").join(F.broadcast(wanted) if few else wanted, "vec_id")
+    again = both.withColumn("score", F.round(inner(F.col("q"), F.col("e")), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "before")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")

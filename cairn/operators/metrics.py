@@ -15,13 +15,28 @@ def recall(predicted: DataFrame, truth: DataFrame, k: int, name: str = "recall")
 
 def present(candidates: DataFrame, truth: DataFrame, k: int, name: str = "present") -> DataFrame:
     """Share of the true k that lie anywhere among the candidates."""
-    return recall(candidates.select("query_id", "vec_id", F.lit(1).alias("rank")), truth, k, name) if k == 1 else _anywhere(candidates, truth, k, name)
+    return recall(candidates.select("query_id", "vec_id", F.lit(0).alias("rank")), truth, k, name)
 
 
-def _anywhere(candidates: DataFrame, truth: DataFrame, k: int, name: str) -> DataFrame:
-    want = truth.where(F.col("rank") <= k).select("query_id", "vec_id")
-    have = candidates.select("query_id", "vec_id", F.lit(1).alias("hit")).distinct()
-    return want.join(have, ["query_id", "vec_id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias(name))
+def decomposition(reach: DataFrame, candidates: DataFrame, first_pass: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """What the first retrieval lost, in three parts that sum to 1 - its recall: out of the routes' reach, reached but not among the
+    candidates, among them but ranked beyond k, which is all that reranking can recover."""
+    out = present(reach, truth, k, "ceiling").join(present(candidates, truth, k, "candidate_recall")).join(recall(first_pass, truth, k, "recall_before_rerank"))
+    return out.select(
+        "ceiling", "candidate_recall", "recall_before_rerank", (1 - F.col("ceiling")).alias("routing_loss"), (F.col("ceiling") - F.col("candidate_recall")).alias("candidate_loss"),
+        (F.col("candidate_recall") - F.col("recall_before_rerank")).alias("ordering_loss"),
+    )
+
+
+def metric_agreement(exact: DataFrame, published: DataFrame, k: int) -> DataFrame:
+    """Mean share of published neighbours (query_id, vec_id, rank) that exact search finds among its first k too."""
+    return recall(exact, published, k, "agreement")
+
+
+def embedding_cost(rates: DataFrame, records: int) -> DataFrame:
+    """(model, probed, seconds) of probes to the rate and the hours that `records` would take; a probe without time can't be checked."""
+    rate = F.try_divide(F.col("probed").cast("double"), F.col("seconds"))
+    return rates.select("model", rate.alias("per_second"), (F.lit(records) / rate / 3600).alias("hours"), F.when(rate.isNull(), "couldnt_check").otherwise("projected").alias("outcome"))
 
 
 def inverse_ratio(predicted: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -49,11 +64,14 @@ def load_summary(df: DataFrame, by: list[str], seconds: Column, error: Column, t
     return df.groupBy(*by).agg(rate.alias("achieved_qps"), F.avg(error.cast("double")).alias("error_rate"), (rate < 0.9 * target).alias("shortfall"))
 
 
-def round_trip_noise(df: DataFrame, most: float = 0.2) -> DataFrame:
-    """(…, rtt_p95, query_p95) to an outcome: timings drown in the network's share, or can't be told at all."""
-    share = F.col("rtt_p95") / F.col("query_p95")
-    out = F.when(F.col("rtt_p95").isNull() | F.col("query_p95").isNull() | (F.col("query_p95") <= 0), "unanswerable").when(share > most, "noise").otherwise("usable")
-    return df.withColumn("outcome", out)
+def round_trip_noise(df: DataFrame, fastest: dict[str, str], most: float = 0.2) -> DataFrame:
+    """(…, engine, transport, rtt_p95, query_p95) to share and outcome: usable, environment_noise, or unanswerable_here where the fastest
+    transport of that engine was used already, so that another run can't help."""
+    best = F.create_map(*[F.lit(x) for kv in fastest.items() for x in kv]) if fastest else F.create_map().cast("map<string,string>")
+    share = F.when(F.col("query_p95") > 0, F.col("rtt_p95") / F.col("query_p95"))
+    used = F.coalesce(F.col("transport") == F.try_element_at(best, F.col("engine")), F.lit(False))
+    out = F.when(share.isNull() | (share <= most), "usable").when(used, "unanswerable_here").otherwise("environment_noise")
+    return df.withColumn("rtt_share", share).withColumn("outcome", out)
 
 
 def ladder(df: DataFrame, errors: float = 0.005, slower: float = 5.0) -> DataFrame:

@@ -27,14 +27,28 @@ def quotas(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
 def stratified(df: DataFrame, stratum: str, n: int, seed: int, id_: str) -> DataFrame:
     """The quota's rows of each stratum."""
-    order = Window.partitionBy(stratum).orderBy(shuffled(F.col(id_), seed), id_)
-    ranked = df.withColumn("__i", F.row_number().over(order))
-    return ranked.join(quotas(df, stratum, n).select(stratum, "quota"), stratum).where(F.col("__i") <= F.col("quota")).drop("__i", "quota")
+    wanted = F.broadcast(quotas(df, stratum, n).select(stratum, "quota"))
+    most = wanted.agg(F.max("quota")).first()[0] or 0
+    return first_rows(df, stratum, most, seed, id_).join(wanted, stratum).where(F.col("__i") <= F.col("quota")).drop("__i", "quota")
 
 
-def reservoir(df: DataFrame, stratum: str, size: int, seed: int, id_: str) -> DataFrame:
+def first_rows(df: DataFrame, stratum: str, most: int, seed: int, id_: str) -> DataFrame:
+    """The first rows of each stratum by hash, with their place; the bound on the place lets each task keep no more of a stratum before the shuffle."""
     order = Window.partitionBy(stratum).orderBy(shuffled(F.col(id_), seed), id_)
-    return df.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= size).drop("__i")
+    return df.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= most)
+
+
+def reservoir(df: DataFrame, stratum: str, size: int, seed: int, id_: str, quota: int = 0) -> DataFrame:
+    """At most `size` rows of each stratum; a size under the quota that is drawn from it later is refused."""
+    if size < quota:
+        raise ValueError(f"a reservoir of {size} can't give {quota}")
+    return first_rows(df, stratum, size, seed, id_).drop("__i")
+
+
+def rows_of(df: DataFrame, id_: str, order: str, n: int) -> DataFrame:
+    """The rows of the first n values of `order`: keys first, the wide rows by a semi-join."""
+    first = df.select(id_, order).orderBy(order, id_).limit(n).select(id_)
+    return df.join(F.broadcast(first), id_, "left_semi")
 
 
 def split_queries(df: DataFrame, category: str, n: int, seed: int, id_: str, hot: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -47,13 +61,11 @@ def split_queries(df: DataFrame, category: str, n: int, seed: int, id_: str, hot
 
 
 def before_cutoff(df: DataFrame, at: str, cutoff: str | None = None) -> DataFrame:
-    """Adds before: whether the time, as a string, comes before the cutoff; by default the middle element of the sorted times."""
-    if cutoff is None:
-        times = df.where(F.col(at).isNotNull()).select(F.col(at).cast("string").alias("t"))
-        order = Window.orderBy("t")
-        middle = times.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0)))).where(F.col("i") == F.floor(F.col("n") / 2) + 1).select(F.col("t").alias("__cut"))
-        return df.join(F.broadcast(middle)).withColumn("before", F.col(at).cast("string") < F.col("__cut")).drop("__cut")
-    return df.withColumn("before", F.col(at).cast("string") < cutoff)
+    """Adds before: whether the time, as a string, comes before the cutoff; by default the middle element of the sorted times, found by counts of the distinct ones."""
+    from cairn.operators.measures import cutoff_of
+
+    cut = F.broadcast(cutoff_of(df.select(F.col(at).cast("string").alias("at")), cutoff).withColumnRenamed("cutoff", "__cut"))
+    return df.join(cut).withColumn("before", F.col(at).cast("string") < F.col("__cut")).drop("__cut")
 
 
 def truncated(df: DataFrame, text: str, limit: int) -> DataFrame:
@@ -68,3 +80,16 @@ def eligible(df: DataFrame, text: str, least: int, present: tuple[str, ...]) ->
     for c in present:
         ok = ok & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
     return df.where(ok)
+
+
+#: Fixed value: how the abstract of a withdrawn record begins.
+WITHDRAWN = "this paper has been withdrawn"
+
+
+def eligible_records(df: DataFrame, least: int = 200) -> DataFrame:
+    """Records (abstract, categories, update_date) with a long enough abstract, categories and a year, that aren't withdrawn."""
+    from cairn.sources.loaders import year_of
+
+    text = F.lower(F.trim(F.coalesce("abstract", F.lit(""))))
+    there = lambda c: F.coalesce(c, F.lit("")) != ""
+    return df.where((F.length(text) >= least) & there("categories") & there("update_date") & ~text.startswith(WITHDRAWN) & year_of(F.col("update_date")).isNotNull())
