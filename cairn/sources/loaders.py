@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,60 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return df.select("id", F.when(F.col("text").isNull(), F.raise_error(F.lit("a line has no text"))).otherwise(F.col("text")).alias("text"))
 
 
+def ids(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    """(pos, id) from a JSON list or from lines of text, ids as strings in their order; another count than `expected` is an error."""
+    if path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("x"))
+        out = whole.select(F.posexplode("x").alias("pos", "id"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "").alias("x"))
+        out = whole.select(F.posexplode("x").alias("pos", "id"))
+    if (n := out.count()) != expected:
+        raise ValueError(f"{n} ids for {expected} rows")
+    return out
+
+
+def metadata(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    """A Parquet table beside the vectors; another row count than `expected` is an error."""
+    df = spark.read.parquet(path)
+    if (n := df.count()) != expected:
+        raise ValueError(f"{n} rows of metadata for {expected} vectors")
+    return df
+
+
+def projection(spark: SparkSession, path: str, expected: int, id_: str = "vec_id") -> DataFrame:
+    """(id, x, y): a declared placement for drawing only. Every vector has one, and all are finite."""
+    df = spark.read.parquet(path).select(id_, F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    n, odd = df.agg(F.count("*"), F.sum((bad("x") | bad("y")).cast("long"))).first()
+    if n != expected or odd:
+        raise ValueError(f"{n} places for {expected} vectors, {odd or 0} of them not finite")
+    return df
+
+
+def records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of all Parquet shards under a folder, only the asked columns read; a missing one is named."""
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    if gone := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no columns {gone}")
+    return df.select(*columns)
+
+
+def categorized(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, abstract, categories, primary, year) from JSON lines {id, title, abstract, categories, update_date}."""
+    df = spark.read.schema("id string, title string, abstract string, categories string, update_date string").json(path)
+    return df.select("id", "title", "abstract", "categories", primary_category(F.col("categories")).alias("primary"), year_of(F.col("update_date")).alias("year"))
+
+
+def year_of(date: Column) -> Column:
+    """The first four characters as a number, null where they are none."""
+    return F.substring(date.cast("string"), 1, 4).try_cast("int")
+
+
+def primary_category(categories: Column) -> Column:
+    return F.get(F.split(F.trim(categories), r"\s+"), F.lit(0))
+
+
 def queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, embedding or text) from Parquet or JSON lines {id, vector | text}."""
     if path.endswith(".parquet"):
@@ -55,7 +109,7 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("id").alias("query_id"), F.col("vector").alias("embedding"), "text")
 
 
-FORMATS = {"vectors": vectors, "npy": npy, "texts": texts, "queries": queries}
+FORMATS = {"vectors": vectors, "npy": npy, "texts": texts, "queries": queries, "categorized": categorized}
 
 
 def read(spark: SparkSession, kind: str, path: str) -> DataFrame:
@@ -79,35 +133,46 @@ def digest(df: DataFrame, line: Column) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(name, length, sha256) of the files of a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-def stable_json(value) -> str:
-    return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
+def manifest(digests: DataFrame) -> DataFrame:
+    """(line): `sha256  name` of each file, by name."""
+    return digests.select(F.concat_ws("  ", "sha256", "name").alias("line"), "name").orderBy("name").select("line")
+
+
+def manifest_digest(digests: DataFrame) -> DataFrame:
+    """One SHA-256 over the lines of a manifest; it names few files."""
+    return digests.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("  ", "sha256", "name"))), "\n"), 256).alias("digest"))
 
 
-def train_shards(df: DataFrame, id_: str, shards: int) -> DataFrame:
-    """Adds the name of the shard a row is exported to: even ranges by id."""
-    place = F.ntile(shards).over(Window.orderBy(id_)) - 1
-    return df.withColumn("shard", F.format_string(f"train-%02d-of-{shards:02d}", place))
+def pinned(digests: DataFrame, pins: DataFrame) -> DataFrame:
+    """Digests against pinned ones (name, sha256): verified, contradicted, absent, unpinned."""
+    both = digests.select("name", F.col("sha256").alias("x")).join(pins.withColumnRenamed("sha256", "y"), "name", "full")
+    return both.select("name", F.when(F.col("y").isNull(), "unpinned").when(F.col("x").isNull(), "absent").when(F.col("x") == F.col("y"), "verified").otherwise("contradicted").alias("outcome"))
 
 
-def export_shards(df: DataFrame, id_: str, shards: int, path: str) -> None:
-    df.repartitionByRange(shards, id_).sortWithinPartitions(id_).write.mode("errorifexists").parquet(path)
+def stable_json(value) -> str:
+    return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
 
 
 def clean_markup(text: Column) -> Column:
-    """Five rules in order: code blocks, inline code, links to their words, images, runs of white space."""
-    out = F.regexp_replace(text, r"(?s)```.*?```", " ")
-    out = F.regexp_replace(out, r"`([^`]*)`", "$1")
-    out = F.regexp_replace(out, r"!\[[^\]]*\]\([^)]*\)", " ")
+    """One line of prose. Five rules in order: fenced code goes, indented code goes, links become their words, tags go,
+    backticks go and white space becomes single spaces. Null is empty."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", " ")
+    out = F.regexp_replace(out, r"(?m)^(?: {4}|\t).*$", " ")
     out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(out, r"<[^>]+>", " ")
+    return F.trim(F.regexp_replace(F.replace(out, F.lit("`"), F.lit("")), r"(?U)\s+", " "))
 
 
 def visible_text(html: Column) -> Column:
     """A page's text: without scripts, styles, comments and tags, common entities decoded."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    out = html
+    for hidden in (r"<script\b.*?</script\s*>", r"<style\b.*?</style\s*>", r"<!--.*?-->"):
+        out = F.regexp_replace(out, f"(?is){hidden}", " ")
     out = F.regexp_replace(out, r"(?is)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
