@@ -3,13 +3,14 @@
 The kernel compares strings by their subsequences of three letters, each weighted by DECAY to the
 power of the stretch it takes, up to SPAN letters; so `idiot` and `id.xi-ot` stay near. A unit is a
 word's letters, a window of WINDOW letters of a long word, or a run of single-letter words
-(`i d i o t`). Labels are of whole texts: a text is as toxic as its worst unit (multiple instances).
+(`i d i o t`). Labels are of whole texts: a text's score is a logistic curve over the margins of its
+TOP worst words, as one plain insult is enough while milder ones must come together (multiple instances).
 
 Training, on the driver, over a bounded sample of labelled rows (SAMPLE rows a class of at most SAMPLE_CHARS
 characters, in the order of a hash): units much likelier in toxic texts start as positive, landmarks are
 taken among them by their evidence and their distance from each other, the machine is fitted in the Nyström features, and each
-round adds the worst units of clean texts as negatives and those of missed toxic texts as positives.
-Text scores are a logistic curve of the worst unit's margin. All whole texts are scored by the same
+round adds the worst units of clean texts as negatives and those like positives in missed toxic texts as positives.
+The curve is fitted to margins that each half of the sample gets from a machine fitted to the other half. All whole texts are scored by the same
 landmarks, whose subsequences are a table of bounded size.
 
 Null texts count as empty and get the score of no unit at all. Without labels of both classes the score is
@@ -37,8 +38,14 @@ LETTERS = 128
 DECAY, SPAN, POWER = 0.6, 7, 3
 WINDOW, STRIDE = 16, 8
 LANDMARKS, ROUNDS, COST = 96, 4, 10.0
+#: Words of a text that its score looks at, and the margin from which they differ from no word at all.
+TOP, FLOOR = 5, -1.0
+#: Weight of a toxic text beside a clean one in the curve: a missed insult is worse.
+WEIGHT = 2.0
 #: Likelihood ratio from which a unit counts as toxic at first, and how many of them at most start the training.
 EVIDENCE, SEEDS = 20.0, 1500
+#: Clean words likest to the positives that become landmarks too, so that the machine can tell them apart.
+ALIKE = 32
 #: Of so many of the first seeds, spellings with an inserted letter are positive too.
 BENT = 30
 #: Bound of the training sample: rows of a class, and characters of a row.
@@ -130,16 +137,30 @@ class Model:
     marks: Landmarks | None
     weights: np.ndarray | None
     bias: float
-    slope: float
+    curve: np.ndarray
     constant: float
 
     def margins(self, units: list[str]) -> np.ndarray:
         return np.full(len(units), self.bias) if self.marks is None else self.marks.kernel(units) @ self.weights + self.bias
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
+    def scores(self, worst: np.ndarray) -> np.ndarray:
+        """Scores of texts by the margins of their worst words, (texts, TOP), falling; FLOOR stands for no word."""
         if self.marks is None:
-            return np.full(len(margins), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins, -30, 30)))
+            return np.full(len(worst), self.constant)
+        return 1 / (1 + np.exp(-np.clip(np.maximum(worst, FLOOR) @ self.curve[:-1] + self.curve[-1], -30, 30)))
+
+
+def worst_of(text: np.ndarray, margin: np.ndarray, texts: int) -> np.ndarray:
+    """(texts, TOP): the largest margins of each text, falling, FLOOR where it has fewer above it."""
+    some = np.flatnonzero(margin > FLOOR)
+    order = some[np.lexsort((-margin[some], text[some]))]
+    text, margin = text[order], margin[order]
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+    rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+    out = np.full((texts, TOP), FLOOR)
+    kept = rank < TOP
+    out[text[kept], rank[kept]] = margin[kept]
+    return out
 
 
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]+){2,}[^\W\d_](?!\S)")
@@ -150,8 +171,22 @@ def spelled(text: str) -> list[str]:
     return [u for found in SPELLED.finditer(text) for u in units_of(found[0])]
 
 
+def word_units(text: str) -> list[list[str]]:
+    """The units of each distinct word, and each spelled-out one."""
+    found = [[u for u in units_of(w) if len(u) >= 3] for w in sorted(set(WORD.findall(text.lower())))]
+    return [u for u in found if u] + [[u] for u in sorted(set(spelled(text)))]
+
+
 def text_units(text: str) -> set[str]:
-    return {u for w in set(WORD.findall(text)) for u in units_of(w) if len(u) >= 3} | set(spelled(text))
+    return {u for units in word_units(text) for u in units}
+
+
+def worst_words(texts: list[str], model: Model) -> np.ndarray:
+    bags = [word_units(t) for t in texts]
+    every = sorted({u for bag in bags for units in bag for u in units})
+    margin = dict(zip(every, model.margins(every).tolist(), strict=True))
+    owner = np.array([i for i, bag in enumerate(bags) for _ in bag], dtype=np.int64)
+    return worst_of(owner, np.array([max(margin[u] for u in units) for bag in bags for units in bag]), len(texts))
 
 
 def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20) -> np.ndarray:
@@ -208,24 +243,63 @@ def likelier(bags: list[list[str]], toxic: list[int]) -> dict[str, float]:
     return out
 
 
-def steepness(x: np.ndarray, y: np.ndarray) -> float:
-    """Slope of the logistic curve through 1/2 at margin 0, with smoothed targets and classes of like weight."""
-    pos, neg = y.sum(), len(y) - y.sum()
-    goal = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
-    t = 1.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(t * x, -30, 30)))
-        step = (weight * (p - goal) * x).sum() / max((weight * p * (1 - p) * x * x).sum(), 1e-6)
-        t = min(max(t - min(max(step, -2.0), 2.0), 0.5), 20.0)
-    return t
+def curve_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression of labels on worst margins, none of which speaks against toxicity; toxic texts count WEIGHT times. The last coefficient is the constant."""
+    often = np.where(y == 1, WEIGHT, 1.0)
+    x = np.concatenate([np.maximum(x, FLOOR), np.ones((len(x), 1))], 1)
+    w = np.zeros(x.shape[1])
+    active = np.ones(x.shape[1], dtype=bool)
+    for _ in range(x.shape[1]):
+        w[:] = 0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x[:, active] @ w[active], -30, 30)))
+            slope = x[:, active].T @ (often * (y - p)) - 1e-2 * w[active]
+            bend = (x[:, active] * (often * p * (1 - p))[:, None]).T @ x[:, active] + 1e-2 * np.eye(active.sum())
+            step = np.linalg.solve(bend, slope)
+            w[active] += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        against = np.flatnonzero((w[:-1] < 0) & active[:-1])
+        if not len(against):
+            break
+        active[against] = False
+        w[against] = 0
+    return w
+
+
+def nystroem(units: list[str]) -> tuple[Landmarks, np.ndarray]:
+    """Landmarks, and the root that turns kernels with them into features."""
+    marks = Landmarks(units)
+    values, vectors = np.linalg.eigh(marks.kernel(units).astype(np.float64))
+    return marks, vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
+
+
+def constant(y: np.ndarray) -> Model:
+    return Model(None, None, 0.0, np.zeros(TOP + 1), float(y.mean()) if len(y) else 0.0)
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
+    """The machine of all texts, and the curve of margins across two halves."""
+    y = np.array(toxic, dtype=np.int64)
+    model = machine(texts, toxic)
+    if model.marks is None:
+        return model
+    half = np.zeros(len(y), dtype=bool)
+    for label in (0, 1):
+        half[np.flatnonzero(y == label)[::2]] = True
+    x = np.zeros((len(y), TOP))
+    for here in (half, ~half):
+        other = machine([t for t, h in zip(texts, here, strict=True) if not h], y[~here].tolist())
+        x[here] = worst_words([t for t, h in zip(texts, here, strict=True) if h], model if other.marks is None else other)
+    return Model(model.marks, model.weights, model.bias, curve_of(x, y), 0.0)
+
+
+def machine(texts: list[str], toxic: list[int]) -> Model:
+    """The fitted margins, yet without a curve."""
     y = np.array(toxic, dtype=np.int64)
     pos, neg = int(y.sum()), int(len(y) - y.sum())
     if not pos or not neg:
-        return Model(None, None, 0.0, 1.0, float(y.mean()) if len(y) else 0.0)
+        return constant(y)
     bags = [sorted(text_units(t)) for t in texts]
     worth = likelier(bags, toxic)
     df: tuple[Counter, Counter] = (Counter(), Counter())
@@ -237,7 +311,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         worth = {u: float(k) for u, k in counts.items() if k == max(counts.values(), default=0)}
     seeds = sorted(worth, key=lambda u: (-worth[u], u))[:SEEDS]
     if not seeds:
-        return Model(None, None, 0.0, 1.0, float(y.mean()))
+        return constant(y)
     rng = np.random.default_rng(SEED)
     clean = sorted(held)
     clean = [clean[i] for i in rng.permutation(len(clean))[:3000]] or [""]
@@ -250,15 +324,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             if bent not in held:
                 df[1][bent] += df[1][u] // 10
                 worth.setdefault(bent, 0.0)
-    marks = Landmarks(chosen)
-    values, vectors = np.linalg.eigh(marks.kernel(chosen).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
+    marks, root = nystroem(chosen)
     positives, negatives = dict.fromkeys([*seeds, *sorted(u for u in worth if not worth[u])]), dict.fromkeys(clean)
     negatives[""] = None  # half of the clean weight: what is like no landmark is clean
     df[0][""] = sum(df[0].values())
     every = sorted({u for bag in bags for u in bag})
     place = {u: i for i, u in enumerate(every)}
-    model = Model(None, None, 0.0, 1.0, 0.0)
+    model = constant(y)
     for turn in range(ROUNDS):
         units = [*positives, *(u for u in negatives if u not in positives)]
         goal = np.where(np.arange(len(units)) < len(positives), 1.0, -1.0)
@@ -266,20 +338,22 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         often = np.array([df[0 if g < 0 else 1][u] for u, g in zip(units, goal, strict=True)], dtype=float) + 1
         often /= np.where(goal > 0, often[goal > 0].sum(), often[goal < 0].sum())
         w = hinge(x, goal, COST * len(units) * often)
-        model = Model(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = Model(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(TOP + 1), 0.0)
         margin = model.margins(every)
         worst = [max(bag, key=lambda u: margin[place[u]], default=None) for bag in bags]
+        if not turn:
+            alike = sorted((u for u in held if margin[place[u]] > -0.5), key=lambda u: (-margin[place[u]] * (1 + df[0][u]), u))[:ALIKE]
+            marks, root = nystroem([*chosen, *(u for u in alike if u not in chosen)])
         if turn < ROUNDS - 1:
             for u, label in zip(worst, toxic, strict=True):
                 if u is None:
                     continue
-                if label and margin[place[u]] < 1 and u not in held and margin[place[u]] > -0.5:
+                if label and 0 < margin[place[u]] < 1 and u not in held:
                     positives[u] = None
             for bag, label in zip(bags, toxic, strict=True):
                 if not label:
                     negatives.update(dict.fromkeys(u for u in bag if margin[place[u]] > -0.5))
-    best = np.array([model.bias if u is None else margin[place[u]] for u in worst])
-    return Model(marks, model.weights, model.bias, steepness(best, y), 0.0)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
@@ -303,7 +377,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         known, value = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             texts = tk.filled(batch.column("__text"))
-            best = np.full(len(texts), model.bias)
+            worst = np.full((len(texts), TOP), FLOOR)
             for a, b in tk.runs(texts) if model.marks is not None else ():
                 part = texts.slice(a, b - a)
                 data, at = tk.chars(part)
@@ -324,20 +398,22 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                     for u in units_of(raw[starts[i] : ends[i]].decode()):
                         units.append(u)
                         owner.append(k)
-                worst = np.full(len(new), -np.inf)
-                np.maximum.at(worst, np.array(owner, dtype=np.int64), model.margins(units))
-                known, value = np.insert(known, spot[new], names[new]), np.insert(value, spot[new], worst)
-                each = value[np.searchsorted(known, names)][back]
-                full = np.flatnonzero(np.diff(first))
-                best[a + full] = np.maximum.reduceat(each, first[full])
+                most = np.full(len(new), -np.inf)
+                np.maximum.at(most, np.array(owner, dtype=np.int64), model.margins(units))
+                known, value = np.insert(known, spot[new], names[new]), np.insert(value, spot[new], most)
+                each = value[np.searchsorted(known, names)]
+                bad = np.flatnonzero(each[back] > FLOOR)  # a word of a text counts once
+                pairs = np.unique((np.searchsorted(first, bad, "right") - 1) << 32 | back[bad])
+                text, margin = pairs >> 32, each[pairs & 0xFFFFFFFF]
                 spelt, owner = [], []  # any text may spell, as in training
                 for d, t in enumerate(part.to_pylist()):
-                    found = spelled(t)
+                    found = sorted(set(spelled(t)))
                     spelt += found
-                    owner += [a + d] * len(found)
+                    owner += [d] * len(found)
                 if spelt:
-                    np.maximum.at(best, np.array(owner, dtype=np.int64), model.margins(spelt))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(best), pa.float64())], names=[*keep, "score"])
+                    text, margin = np.append(text, np.array(owner, dtype=np.int64)), np.append(margin, model.margins(spelt))
+                worst[a:b] = worst_of(text, margin, b - a)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(worst), pa.float64())], names=[*keep, "score"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in narrow.schema if x.name != "__text")
     return narrow.mapInArrow(tk.frugal(f), f"{fields}, score double")

@@ -237,6 +237,10 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(240))
     assert got[500] == got[501] < 0.5 and got[502] > 0.5 and got[503] > 0.5 and got[None] < 0.5
+    odd = docs_of(spark, [(1, "you idiiiiiiot"), (2, "an i-d-i-o-t"), (3, "id1iot"), (4, "green " * 20_000 + "moron"), (5, None), (5, None)])
+    stretched = {r.doc_id: r.score for r in toxicity.scored(odd, model).collect()}
+    assert all(stretched[i] > 0.5 for i in (1, 2, 3, 4)) and stretched[5] < 0.5
+    assert toxicity.scored(docs.limit(0), model).count() == 0
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
 
@@ -317,7 +321,7 @@ def test_toxicity_reads_all_spellings(spark):
     model = toxicity.train(docs_of(spark, texts), labels)
     docs = docs_of(spark, [*enumerate(spelt), (9, "river g. r. e. e. n")])
     got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
-    want = {i: float(model.scores(model.margins(sorted(toxicity.text_units(t)))).max()) for i, t in enumerate(spelt)}
+    want = dict(enumerate(model.scores(toxicity.worst_words(spelt, model)).tolist()))
     assert all(got[i] == pytest.approx(want[i]) and got[i] > 0.5 for i in want) and got[9] < 0.5
 
 
