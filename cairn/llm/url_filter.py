@@ -22,6 +22,7 @@ one row; repeated rows and null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from dataclasses import dataclass
@@ -149,7 +150,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", keep: tuple[
     lengths = sorted({len(r.path) for r in rules})
     keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     spark = pages.sparkSession
-    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    frame = lambda keys: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
     listed = frame(sorted(verdicts))
     universe = keyed.select(F.explode("keys.key").alias("key"))
     size = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
