@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.shared import Stage, small_batches, without
+from cairn.llm.shared import Stage, small_batches, small_table, without
 
 SLOTS = 1 << 16
 TEMPERATURE = 4.0
@@ -79,8 +79,8 @@ def sampled(usable: DataFrame) -> dict[str, list[int]]:
     share = {name: min(1.0, 2 * SAMPLE / n) for name, n in sizes.items()}
     found: dict[str, list[int]] = {}
     while share:
-        bounds = [(name, int(-(2**63) + min(s * 2**64, 2**64 - 1))) for name, s in share.items()]
-        under = usable.join(F.broadcast(usable.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where(F.col("h") <= F.col("bound"))
+        bounds = [int(-(2**63) + min(s * 2**64, 2**64 - 1)) for s in share.values()]
+        under = usable.join(F.broadcast(small_table(usable.sparkSession, lang=list(share), bound=bounds)), "lang").where(F.col("h") <= F.col("bound"))
         held: dict[str, list[int]] = {name: [] for name in share}
         for r in under.select("lang", "h").distinct().collect():  # about 2 SAMPLE a language
             held[r.lang].append(r.h)
@@ -99,10 +99,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> TextMo
     usable = usable.withColumn("h", F.xxhash64("text"))
     picked = sampled(usable)
     languages = sorted(picked)
-    last = [(name, max(hashes)) for name, hashes in picked.items()]
     texts: dict[str, list[str]] = {name: [] for name in languages}
-    if last:
-        taken = usable.join(F.broadcast(usable.sparkSession.createDataFrame(last, "lang string, last long")), "lang").where(F.col("h") <= F.col("last"))
+    if picked:
+        last = small_table(usable.sparkSession, lang=languages, last=[picked[name][-1] for name in languages])
+        taken = usable.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
         for r in taken.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():  # at most SAMPLE for each language
             texts[r.lang].append(r.text)
     table = np.zeros((SLOTS, len(languages)))

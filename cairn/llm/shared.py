@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,11 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of a few rows. It comes as Arrow data: from lists of rows executors would start Python workers of another kind, and keep them."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def cut(df: DataFrame) -> DataFrame:
     return Stage(df).df
 
