@@ -1,14 +1,15 @@
 """Operator 9: secret scans. Patterns find candidates; a random forest removes false positives.
 
-Candidates are the values of assignments (`token = "..."`), known key forms and long runs of key characters. The forest sees
+Candidates are the values of assignments (`token = "..."`), known key forms, private-key blocks and long runs of key characters. The forest sees
 their length, entropy, character classes and transitions, how much of them a dictionary of syllables and
 words covers, path and address signs, and the words around them. It is trained from labelled findings; the
 findings in `labelled_findings` are written by a seeded generator, as the tables hold none: keys of many
 forms in the wordings they come in, against digests, identifiers, placeholders, paths, numbers and plain
 words in theirs. A bounded number of findings is a parameter.
 
-Null and empty texts have no findings. Rows come in the order of a text's findings: repeated rows repeat their
-findings. Offsets count characters (code points), half-open.
+Null and empty texts have no findings, and tables without rows give none. Rows come in the order of a text's findings: repeated rows repeat their
+findings, in any order of the rows themselves. Offsets count characters (code points), half-open. Candidates are searched in time that grows with the
+text's length, however long they are. `scan` keeps the named columns; `redacted` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ MASK = "[SECRET]"
 #: Characters of context on either side of a candidate.
 CONTEXT = 40
 
-NAMED = r"(?P<name>[A-Za-z0-9_.\-]{2,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-.=~!@#$%^&*]{8,})"
-FORMS = r"(?P<form>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
+NAMED = r"(?P<name>[A-Za-z0-9_.\-]{2,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?(?P<value>(?!-----BEGIN )[A-Za-z0-9+/_\-.=~!@#$%^&*]{8,})"
+#: A private key with the lines of its body; the last line may be short, the end may be missing.
+PEM = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/=]{16,})*(?:\s+[A-Za-z0-9+/=]+(?=\s+-----END))?(?:\s+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
+FORMS = rf"(?P<form>{PEM}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk-[A-Za-z0-9_-]{{20,}}|AIza[0-9A-Za-z_-]{{35}}|eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]*)"
 RUNS = r"(?<![A-Za-z0-9+/_\-])(?P<run>(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9+/_\-])"
 #: What any candidate needs; texts without it are passed over at once.
-HINT = re.compile(r"(?:=>|[=:])\s{0,3}[\"']?[^\s\"']{8}|[A-Za-z0-9+/_\-]{20}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8}")
+HINT = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY|(?:=>|[=:])\s{0,3}[\"']?[^\s\"']{8}|[A-Za-z0-9+/_\-]{20}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8}")
 CANDIDATE = re.compile(f"{FORMS}|{NAMED}|{RUNS}")
 
 #: Words that speak for a secret, and words that speak against one.
@@ -103,7 +106,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
         secret = len(out) % 2 == 0
         quote = pick(['"', "'", ""])
         if secret:
-            value = pick([lambda: draw(hexa, 40, 40), lambda: draw(hexa, 32, 64), lambda: draw(alnum, 20, 48), lambda: draw(alnum + "+/", 40, 40), lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 16), lambda: "ghp_" + draw(alnum, 36, 36), lambda: "sk-" + draw(alnum, 24, 48), lambda: draw(alnum + "!@#$%^&*", 10, 24)])()
+            value = pick([lambda: draw(hexa, 40, 40), lambda: draw(hexa, 32, 64), lambda: draw(alnum, 20, 48), lambda: draw(alnum + "+/", 40, 40), lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 16), lambda: "ghp_" + draw(alnum, 36, 36), lambda: "sk-" + draw(alnum, 24, 48), lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(draw(alnum + "+/", 64, 64) for _ in range(int(rng.integers(1, 9)))) + "\n-----END PRIVATE KEY-----", lambda: draw(alnum + "!@#$%^&*", 10, 24)])()
             name = pick(FOR)
             name = pick([name, name.upper(), f"{word()}_{name}", f"{name}_{word()}", name.title()])
             joint = pick([" = ", "=", ": ", ":", " := "])
