@@ -10,7 +10,7 @@ its id lies below its cell's probability.
 Targets default to tempered shares: a value's share of tokens to the power TEMPER, so that small ones gain.
 Only cells, partially aggregated, are raked; documents are never grouped.
 
-A null source, language, topic or text is the empty string; texts without words weigh nothing, and their cell's
+Ties don't occur: cells are told apart by their values, and a document at its cell's probability exactly isn't sampled. A null source, language, topic or text is the empty string; texts without words weigh nothing, and their cell's
 probability holds for them too. A null id hashes as ''. Rows with one id share their fate. Other columns are kept by `mixed`.
 """
 
@@ -38,15 +38,20 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Signs of a genre: its characters, and in how many characters of a text one of them must be, or more. The first that holds names it.
+GENRES = (("figures", "[0-9]", 8), ("code", r"[{}();<>=\[\]]", 20), ("table", r"[|\t]", 25), ("marks", r"[!-/:-@\[-`{-~]", 7))
+
+
 def topic_of(text: Column) -> Column:
-    """A coarse genre: tables, shouting, lists of records, prose."""
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
-        .when(F.contains(text, F.lit(" | ")), "table")
-        .when(F.contains(text, F.lit("!! ")), "shouting")
-        .when(F.contains(text, F.lit(" = ")), "record")
-        .otherwise("prose")
-    )
+    """The topic, as far as a text without one tells it: a genre by its measured shares of characters. Capitals are told from small letters,
+    digits, brackets, column marks and other marks from the whole; the rest is prose by length."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.length(text)
+    of = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    out = F.when(n == 0, F.lit("")).when(of("[A-Z]") > of("[a-z]"), "capitals")
+    for name, pattern, share in GENRES:
+        out = out.when(of(pattern) * share >= n, name)
+    return out.when(n < 1000, "notes").otherwise("prose")
 
 
 def uniform(doc_id: Column) -> Column:
@@ -166,7 +171,9 @@ def mixed(docs: DataFrame, *, fraction: float = 0.5, targets: dict[str, dict[str
 def oracle() -> str:
     """The same in DuckDB's SQL, round by round."""
     text = "coalesce(text, '')"
-    topic = f"CASE WHEN {text} = '' THEN '' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shouting' WHEN contains(text, ' = ') THEN 'record' ELSE 'prose' END"
+    of = lambda pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
+    signs = " ".join(f"WHEN {of(pattern)} * {share} >= length({text}) THEN '{name}'" for name, pattern, share in GENRES)
+    topic = f"CASE WHEN {text} = '' THEN '' WHEN {of('[A-Z]')} > {of('[a-z]')} THEN 'capitals' {signs} WHEN length({text}) < 1000 THEN 'notes' ELSE 'prose' END"
     parts = [
         f"known AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(len(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM known GROUP BY ALL)",
