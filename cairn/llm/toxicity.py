@@ -89,7 +89,7 @@ def features(units: list[str], by_length: bool = True) -> Iterator[tuple[np.ndar
             continue
         a, b, c, weight = places(int(n))
         rows_of = np.flatnonzero(sizes == n)
-        step = max(1, (1 << 20) // len(a))
+        step = max(1, (1 << 16) // len(a))
         for lo in range(0, len(rows_of), step):
             rows = rows_of[lo : lo + step]
             x = letter_codes("".join(units[i] for i in rows)).reshape(len(rows), n)
