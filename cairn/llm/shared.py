@@ -47,7 +47,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Stage:
-    """A table written to the shared folder, so that what follows neither recomputes nor drags its lineage."""
+    """A table written to the shared folder, so that what follows neither recomputes nor drags its lineage. It goes with `drop`, or when the application ends."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
@@ -60,14 +60,20 @@ class Stage:
             df.write.parquet(self.path)
         finally:
             self.spark.conf.set(CLEANED, before)
+        path, files = self._file()
+        files.deleteOnExit(path)
+
+    def _file(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._file()
+        files.delete(path, True)
 
 
 def small_table(spark: SparkSession, **columns: list) -> DataFrame:

@@ -505,6 +505,7 @@ def links(docs: DataFrame, rows: DataFrame, *, text: str = "text", width: int =
         made = pairs_across(rows, way, parts, num, den)
         given = made if given is None else given.unionByName(made)
     far = Stage(linked(agreed(given, orders, parts, num, den), sets.df, num, den))
+    sets.drop()
     return found.df.unionByName(far.df)
 
 
