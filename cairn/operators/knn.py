@@ -50,6 +50,17 @@ def shard_answers(placed: DataFrame, queries: DataFrame, depth: int, *, shard: s
     return found.withColumn("i", F.row_number().over(of)).where(F.col("i") <= depth).select("query_id", F.col("group").alias("shard"), "vec_id", "score")
 
 
+def kept_truth(base: DataFrame, queries: DataFrame, k: int, path: str) -> DataFrame:
+    """Exact neighbours, kept in a table for further runs: used again where it holds min(k, rows) neighbours for as many queries, else made anew beside it."""
+    spark = base.sparkSession
+    asked, rows = queries.count(), base.limit(k).count()
+    folder = f"{path}/q{asked}-k{k}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) or spark.read.parquet(folder).count() != asked * rows:
+        exact(base, queries, k).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def rescored(retrieved: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Candidates (query_id, vec_id, rank) scored by their vectors again, stable on the old rank; what wasn't retrieved stays absent."""
     wanted = retrieved.select("query_id", "vec_id", F.col("rank").alias("before")).join(F.broadcast(queries.select("query_id", F.col("e").alias("q"))), "query_id")

@@ -13,6 +13,14 @@ def recall(predicted: DataFrame, truth: DataFrame, k: int, name: str = "recall")
     return want.join(have, ["query_id", "vec_id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias(name))
 
 
+def recalls(predicted: DataFrame, truth: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """One row with recall_at_k for each k, from one join."""
+    have = predicted.select("query_id", "vec_id", F.col("rank").alias("__p")).dropDuplicates(["query_id", "vec_id"])
+    both = truth.join(have, ["query_id", "vec_id"], "left")
+    share = lambda k: F.sum(((F.col("rank") <= k) & (F.coalesce("__p", F.lit(k + 1)) <= k)).cast("long")) / F.sum((F.col("rank") <= k).cast("long"))
+    return both.agg(*(share(k).alias(f"recall_at_{k}") for k in ks))
+
+
 def present(candidates: DataFrame, truth: DataFrame, k: int, name: str = "present") -> DataFrame:
     """Share of the true k that lie anywhere among the candidates."""
     return recall(candidates.select("query_id", "vec_id", F.lit(0).alias("rank")), truth, k, name)

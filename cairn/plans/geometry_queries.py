@@ -455,7 +455,7 @@ CONFIGURATIONS = [("single_node", {}), ("hash_sharded", {"shards": 3}), ("semant
 @query()
 def architecture_sweep(spark, sf):
     base = vectors(spark, sf)
-    return families.sweep(base, asked(base), truth(base, K), CONFIGURATIONS)[0]
+    return families.sweep(base, asked(base), truth(base, 100), CONFIGURATIONS)[0]
 
 
 @query(f"""WITH {T}, {C} SELECT 'boundary_crispness' AS measure, CASE WHEN avg(CASE WHEN d2 > 1.2 * d1 THEN 1.0 ELSE 0.0 END) * count(*) < 5 THEN 'couldnt_check' ELSE 'measured' END AS outcome FROM pairs

@@ -225,3 +225,18 @@ def test_samples(spark):
     assert loaders.clean_markup(F.lit("x")) is not None
     cleaned = spark.createDataFrame([("a ```code\nx``` `b` [c](http://d)\n    indented\n<i>e</i>  f",), (None,)], "t string").select(loaders.clean_markup(F.col("t")).alias("t")).collect()
     assert [r.t for r in cleaned] == ["a b c e f", ""]
+
+
+def test_bundles_need_an_extraction(spark):
+    for bad in ((None,), ("tool",), ("unknown",)):
+        with pytest.raises(ValueError):
+            chunking.declared_extraction(*bad)
+    made = chunking.declared_extraction("tool", "1.2")
+    docs = spark.createDataFrame([(1, "This is one two three. Four five."), (2, "Six seven.")], "doc_id long, text string")
+    chunks = chunking.chunked(docs, "fixed", size=3, overlap=0, min_final=0)
+    spans = spark.createDataFrame([(1, 0, 7, "s"), (1, 5, 30, "t")], "doc_id long, start int, end int, kind string")
+    rows = {r.measure: (r.value, r.outcome) for r in chunking.bundle(chunks, extraction=made, spans=spans, floor=2, cap=3).collect()}
+    assert rows["span_survival"] == (0.5, "measured") and rows["boundary_alignment"] == (None, "couldnt_check") and rows["orphans"][0] == 1.0
+    assert rows["unresolved_references"][0] == pytest.approx(0.25)
+    with pytest.raises(ValueError):
+        chunking.bundle(chunks, extraction={})

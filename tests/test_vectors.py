@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import engine, families, knn, measures, metrics, regions, sampling, state, verdicts, views
+from cairn.operators import citations, engine, families, knn, measures, metrics, regions, sampling, state, verdicts, views
 from cairn.operators.duplicates import lsh_recall
 from cairn.operators.vectors import normalized, usable
 
@@ -178,8 +178,11 @@ def test_an_engine_keeps_the_last_write(spark, tmp_path, points):
 def test_sweeps_drop_what_the_rows_cannot_fill(points):
     _, base = points
     q = queries(base)
-    rows, dropped = families.sweep(base, q, knn.exact(base, q, 10), [("single_node", {}), ("semantic_sharded", {"centroids": 9999, "eps": 0.0, "probe": 1})], rounds=2)
-    assert [(r.family, r.recall) for r in rows.collect()] == [("single_node", 1.0)] and len(dropped) == 1
+    rows, dropped = families.sweep(base, q, knn.exact(base, q, 10), [("single_node", {}), ("semantic_sharded", {"centroids": 4, "eps": 0.0, "probe": 1}), ("semantic_sharded", {"centroids": 9999, "eps": 0.0, "probe": 1})], rounds=2, ks=(1, 10))
+    got = {r.family: r for r in rows.collect()}
+    assert got["single_node"].recall_at_10 == got["single_node"].recall_at_1 == got["single_node"].inv_ratio == 1.0 and len(dropped) == 1
+    one = got["semantic_sharded"]
+    assert one.recall_at_1 == 1.0 and one.recall_at_10 == pytest.approx(one.ceiling) and one.ceiling < 1
     for bad in (("odd", {}), ("single_node", {"eps": 1})):
         with pytest.raises(ValueError):
             families.checked(*bad)
@@ -279,3 +282,37 @@ def test_all_steps_of_the_ratio_grid(spark):
     assert [r.pct for r in grid] == [i / 2 for i in range(201)]
     assert [r.ratio for r in grid] == pytest.approx(np.quantile(x, np.arange(201) / 200).tolist())
     assert {(r.n, r.n_infinite) for r in grid} == {(780, 3)}
+
+
+def test_truth_is_kept(points, tmp_path):
+    _, base = points
+    q = queries(base)
+    want = sorted(map(str, knn.exact(base, q, 4).collect()))
+    for _ in range(2):
+        assert sorted(map(str, knn.kept_truth(base, q, 4, f"file://{tmp_path}").collect())) == want
+    assert knn.kept_truth(base, q.limit(3), 4, f"file://{tmp_path}").count() == 12
+
+
+def test_policies_name_every_problem():
+    fine = {"family": "semantic_sharded", "configuration": {"centroids": 8, "eps": 0.1, "probe": 1}, "changes": [{"param": "eps", "from": 0.1, "to": 0.2}]}
+    assert families.policy_problems(fine) == []
+    bad = {"family": "semantic_sharded", "configuration": {"centroids": 8, "odd": 1}, "changes": [{"param": "eps", "from": 0.1, "to": 0.1}, {"param": "eps"}], "scope": "all"}
+    assert len(families.policy_problems(bad)) == 7
+    assert "no family x" in families.policy_problems({"family": "x", "configuration": {}, "changes": []})
+
+
+def test_citations_are_read_back():
+    run = {"simulate.json": {"rows": [{"config": "a[M=32,eps=0.2]", "recall": 0.9}, {"config": "b", "recall": 0.5}]}, "verify.json": {"engines": [{"engine": "e", "load": {"qps": 7.0}}], "spread": {"min": 1.0, "max": 2.0}}}
+    resolve = citations.resolve
+    assert resolve("simulate.json:rows[a[M=32,eps=0.2]].recall", run).value == 0.9
+    assert resolve("verify.json:load.qps", run, "e").value == 7.0 and resolve("simulate.json:rows.recall", run, "b").value == 0.5
+    assert [resolve(s, run, pending=("report.json",)).kind for s in ("", "requirements:x", "simulate.json:rows[*].recall", "report.json:x", "gone.json:x", "simulate.json", "simulate.json:rows[z].recall")] == ["unresolved", "requirements", "every_option", "pending", "unresolved", "unresolved", "unresolved"]
+    with pytest.raises(citations.Malformed):
+        citations.steps("a[b")
+    cites = [("simulate.json:rows[b].recall", 0.5, None), ("simulate.json:rows[b].recall", 0.6, None), ("verify.json:spread", 2.0, None), ("gone.json:x", 1, None)]
+    assert [p for _, p in citations.disagreements(cites, run)] == ["holds 0.5", "holds it as max", "no gone.json"]
+
+
+def test_footprints_of_codes():
+    assert families.code_bytes(768) == 3072 and families.code_bytes(768, 16, 8) == 16 and families.code_bytes(64, 3, 3) == 2
+    assert families.label_of("f", {"b": 1, "a": 2}) == "f[a=2,b=1]" and families.least_depth(10) == 30
