@@ -41,7 +41,7 @@ LANDMARKS, ROUNDS, COST = 96, 4, 10.0
 #: Words of a text that its score looks at, and the margin from which they differ from no word at all.
 TOP, FLOOR = 5, -1.0
 #: Weight of a toxic text beside a clean one in the curve: a missed insult is worse.
-WEIGHT = 2.0
+WEIGHT = 3.0
 #: Likelihood ratio from which a unit counts as toxic at first, and how many of them at most start the training.
 EVIDENCE, SEEDS = 20.0, 1500
 #: Clean words likest to the positives that become landmarks too, so that the machine can tell them apart.
