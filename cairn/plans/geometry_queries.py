@@ -126,7 +126,7 @@ def epsilon_closure(spark, sf):
     return regions.closure(dist_of(vectors(spark, sf)), EPS).select("vec_id", "slot", F.col("region").cast("int").alias("region"))
 
 
-@query(" UNION ALL ".join(f"SELECT {e} AS eps, copies, count(*) AS vectors FROM (WITH {V}, {C}, {closure_sql(e)} SELECT vec_id, count(*) AS copies FROM members GROUP BY vec_id) GROUP BY copies" for e in (0.1, 0.2, 0.4)))
+@query(" UNION ALL ".join(f"SELECT CAST({e} AS DOUBLE) AS eps, copies, count(*) AS vectors FROM (WITH {V}, {C}, {closure_sql(e)} SELECT vec_id, count(*) AS copies FROM members GROUP BY vec_id) GROUP BY copies" for e in (0.1, 0.2, 0.4)))
 def copies_histogram(spark, sf):
     dist = dist_of(vectors(spark, sf))
     out = None
