@@ -1,7 +1,7 @@
 """Operator 8: token counts by heap-and-linked-list byte-pair merging.
 
-A text is cut where no piece can cross (before each run of spaces, and at characters
-that no longer piece holds); each cut is merged by popping the best-ranked adjacent
+A text is cut where no piece can cross (before each run of spaces, at characters
+that no longer piece holds, and, in long cuts, between characters that no piece holds side by side); each cut is merged by popping the best-ranked adjacent
 pair from a heap over a linked list. The count is initial symbols minus merges, and a
 character outside the vocabulary counts its UTF-8 bytes. No identifier is made.
 
@@ -12,6 +12,7 @@ repeated rows and null ids included; columns beyond the id and the text are igno
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -42,6 +43,8 @@ class PieceCounter:
             raise ValueError("pieces that cross a space can't be counted cut by cut")
         alone = "".join(c for c in "\n\t" if not any(c in p for p in longer))
         self.cuts = re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+").findall
+        #: Characters that stand side by side in some piece: merges cross no other border.
+        self.joins = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> int:
@@ -52,19 +55,34 @@ class PieceCounter:
         for cut in cuts:
             n = known.get(cut)
             if n is None:
-                n = self.merge(cut)
-                if len(cut) <= CACHE_CHARS:
-                    if len(known) >= CACHE_CUTS:
-                        known.clear()
-                    known[cut] = n
+                n = self.remembered(cut) if len(cut) <= CACHE_CHARS else sum(map(self.counted, self.parts(cut)))
             total += n
         return total
 
+    def counted(self, part: str) -> int:
+        n = self.known.get(part)
+        return n if n is not None else self.remembered(part) if len(part) <= CACHE_CHARS else self.merge(part)
+
+    def remembered(self, cut: str) -> int:
+        if len(self.known) >= CACHE_CUTS:
+            self.known.clear()
+        n = self.known[cut] = self.merge(cut)
+        return n
+
+    def parts(self, cut: str) -> Iterator[str]:
+        """A long cut in parts that no merge crosses."""
+        joins, start = self.joins, 0
+        for i in range(1, len(cut)):
+            if cut[i - 1 : i + 1] not in joins:
+                yield cut[start:i]
+                start = i
+        yield cut[start:]
+
     def merge(self, cut: str) -> int:
         """Symbols left of one cut. The heap holds (rank, left position, the pair's text); stale entries are skipped."""
         rank, n = self.rank, len(cut)
         symbol = list(cut)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         heap = [(rank[pair], i, pair) for i in range(n - 1) if (pair := cut[i : i + 2]) in rank]
         heapify(heap)
         left = n
