@@ -39,16 +39,16 @@ def tokens_of(text: Column) -> Column:
 
 
 #: Signs of a genre: its characters, and in how many characters of a text one of them must be, or more. The first that holds names it.
-GENRES = (("figures", "[0-9]", 8), ("code", r"[{}();<>=\[\]]", 20), ("table", r"[|\t]", 25), ("marks", r"[!-/:-@\[-`{-~]", 7))
+GENRES = (("capitals", "[A-Z]", 3), ("figures", "[0-9]", 8), ("code", r"[{}();<>=\[\]]", 20), ("table", r"[|\t]", 25), ("marks", r"[!-/:-@\[-`{-~]", 7))
 
 
 def topic_of(text: Column) -> Column:
-    """The topic, as far as a text without one tells it: a genre by its measured shares of characters. Capitals are told from small letters,
-    digits, brackets, column marks and other marks from the whole; the rest is prose by length."""
+    """The topic, as far as a text without one tells it: a genre by its measured shares of characters: capitals,
+    digits, brackets, column marks and other marks; the rest is prose by length."""
     text = F.coalesce(text, F.lit(""))
     n = F.length(text)
     of = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    out = F.when(n == 0, F.lit("")).when(of("[A-Z]") > of("[a-z]"), "capitals")
+    out = F.when(n == 0, F.lit(""))
     for name, pattern, share in GENRES:
         out = out.when(of(pattern) * share >= n, name)
     return out.when(n < 1000, "notes").otherwise("prose")
@@ -173,7 +173,7 @@ def oracle() -> str:
     text = "coalesce(text, '')"
     of = lambda pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
     signs = " ".join(f"WHEN {of(pattern)} * {share} >= length({text}) THEN '{name}'" for name, pattern, share in GENRES)
-    topic = f"CASE WHEN {text} = '' THEN '' WHEN {of('[A-Z]')} > {of('[a-z]')} THEN 'capitals' {signs} WHEN length({text}) < 1000 THEN 'notes' ELSE 'prose' END"
+    topic = f"CASE WHEN {text} = '' THEN '' {signs} WHEN length({text}) < 1000 THEN 'notes' ELSE 'prose' END"
     parts = [
         f"known AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(len(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM known GROUP BY ALL)",
