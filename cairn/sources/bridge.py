@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Labels of a case that ended well, failed, or ran out of time; figures of a case that are taken over.
@@ -14,25 +14,44 @@ FIGURES = ("qps", "serial_latency_p50", "serial_latency_p95", "serial_latency_p9
 
 
 def train_shards(df: DataFrame, id_: str, shards: int) -> DataFrame:
-    """Adds the name of the shard a row is exported to: even ranges by id, the first ones a row longer.
+    """Adds the name of the shard a row is exported to: even ranges by id, nulls last, the first ones a row longer.
 
-    Ids are counted by ranges first, so that no task ranks them all.
+    Only the ids at which shards begin are sought: ids are counted by ranges, and ranges with a begin are ranked, so that no task ranks all ids.
+    Each job draws the bounds of ranges anew, so a range is kept as its least and greatest id, never as its number.
+    Rows of one id that a begin parts go by their other columns, as JSON; one task numbers them.
     """
     parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, id_).withColumn("__part", F.spark_partition_id())
-    sizes = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())  # a row for each range
-    total, before, starts = sum(n for _, n in sizes), 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
+    counts = df.groupBy(F.col(id_).alias("__id")).agg(F.count("*").alias("__n"))
+    ranged = counts.repartitionByRange(parts, F.col("__id").asc_nulls_last()).withColumn("__part", F.spark_partition_id())
+    known = F.sum(F.when(F.col("__id").isNotNull(), F.col("__n")).otherwise(0))
+    ranges = ranged.groupBy("__part").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.sum("__n").alias("n"), known.alias("known")).collect()  # a row for each range
+    total = sum(r["n"] for r in ranges)
     whole, more = divmod(total, shards)
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(id_)) - 1 + F.col("__start")
-    placed = ranged.join(F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "__part int, __start long")), "__part").withColumn("__at", at)
-    edge = more * (whole + 1)
-    shard = F.when(F.col("__at") < edge, F.floor(F.col("__at") / (whole + 1))).otherwise(more + F.floor((F.col("__at") - edge) / max(1, whole))).cast("int")
-    return placed.withColumn("shard", F.format_string(f"train-%02d-of-{shards:02d}", shard)).drop("__part", "__start", "__at")
+    begins = [b for s in range(1, shards) if (b := s * whole + min(s, more)) < total]
+    before, held = 0, []
+    for r in sorted(ranges, key=lambda r: r["__part"]):
+        if any(before <= b < before + r["known"] for b in begins):
+            held.append((r["lo"], r["hi"], before))
+        before += r["known"]
+    firsts = [(None, b - before) for b in begins if b >= before]  # (id, rows of that id that belong to shards before)
+    if held:
+        inside = counts.withColumn("__before", F.coalesce(*(F.when(F.col("__id").between(lo, hi), F.lit(n).cast("long")) for lo, hi, n in held))).where("__before is not null")
+        start = F.col("__before") + F.sum("__n").over(Window.partitionBy("__before").orderBy("__id")) - F.col("__n")
+        met = F.filter(F.array(*(F.lit(b).cast("long") for b in begins)), lambda b: (b >= F.col("__start")) & (b < F.col("__start") + F.col("__n")))
+        found = inside.withColumn("__start", start).select("__id", "__start", F.explode(met).alias("__begin")).collect()  # a row for each begin
+        firsts += [(r["__id"], r["__begin"] - r["__start"]) for r in found]
+    parted = F.lit(False)
+    for x in {x for x, ties in firsts if ties}:
+        parted = parted | F.col(id_).eqNullSafe(F.lit(x))
+    placed = df.withColumn("__tie", F.lit(0))
+    if any(ties for _, ties in firsts):
+        tie = F.row_number().over(Window.partitionBy(id_).orderBy(F.to_json(F.struct(*df.columns)))) - 1
+        placed = placed.where(~parted).unionByName(df.where(parted).withColumn("__tie", tie))
+    shard = F.lit(0)
+    for x, ties in firsts:
+        later = F.lit(False) if x is None else F.coalesce(F.col(id_) > F.lit(x), F.lit(True))
+        shard = shard + (later | (F.col(id_).eqNullSafe(F.lit(x)) & (F.col("__tie") >= ties))).cast("int")
+    return placed.withColumn("shard", F.format_string(f"train-%02d-of-{shards:02d}", shard)).drop("__tie")
 
 
 def export(base: DataFrame, queries: DataFrame, truth: DataFrame, path: str, *, shards: int, k: int) -> None:

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,19 @@ def test_bridge_round_trip(spark, tmp_path):
     assert [(r.engine, r.outcome, r.qps) for r in rows] == [("e", "measured", 5.0), ("f", "couldnt_check", None)]
 
 
+@pytest.mark.parametrize("ids", [[i * 7919 % 20011 for i in range(20011)], [None] * 7 + [5] * 11 + list(range(6)), [None] * 9, [3] * 10, [4, None], []], ids=["many", "ties", "nulls", "one id", "few", "none"])
+def test_train_shards_are_ntiles(spark, ids):
+    """More ids than bounds of ranges are drawn from; ids held by several shards, and none, which come last."""
+    rows = [(i, f"{n * 7 % 100:02d}") for n, i in enumerate(ids)]
+    base = spark.createDataFrame(rows, "vec_id long, other string").repartition(2)
+    whole, more = divmod(len(ids), 4)
+    names = [f"train-{s:02d}-of-04" for s in range(4) for _ in range(whole + (s < more))]
+    want = Counter((*row, name) for row, name in zip(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), names, strict=True))
+    out = bridge.train_shards(base, "vec_id", 4)
+    assert out.columns == ["vec_id", "other", "shard"]
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def test_published_points_are_read_from_a_page(spark):
     page = " ".join(f"M=12, efConstruction=500: ef={ef}, recall={r}" for ef, r in ((10, 0.3), (20, 0.5), (40, 0.7))) + " M=16, efConstruction=500: ef=10, recall=0.4"
     points = bridge.published_points(spark.createDataFrame([(page,)], "html string"))
